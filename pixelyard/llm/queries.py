@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .near_duplicates import near_duplicates
 from .phrase_automata import phrase_dedup
 from .suffix_array import suffix_array_dedup
 
@@ -20,6 +21,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = phrase_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
@@ -28,5 +33,6 @@ def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_phrase_dedup": op8_phrase_dedup,
 }
