@@ -82,8 +82,11 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("b"))
-        for _ in range(2):
-            up = cut_lineage(up.alias("x").join(up.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b"))
+        moving = True
+        while moving:  # as often as the logarithm of the longest way up
+            up = cut_lineage(up.alias("x").join(up.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b", (F.col("x.b") != F.col("y.b")).alias("moved")))
+            moving = not up.where("moved").isEmpty()
+            up = up.select("a", "b")
         root = up.select(F.col("a").alias("node"), F.col("b").alias("root"))
         if nodes is None:
             nodes = root
