@@ -37,4 +37,5 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 
 
 def predict_logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+    # summed row by row, so that a score does not depend on the batch
+    return 1 / (1 + np.exp(-np.clip((x * w[:-1]).sum(axis=1) + w[-1], -30, 30)))
