@@ -56,7 +56,7 @@ def presence(sets: list[np.ndarray], words: np.ndarray) -> np.ndarray:
     return x
 
 
-def telling_words(sets: list[np.ndarray], y: np.ndarray, most: int = 64, least_z: float = 6.0) -> np.ndarray:
+def telling_words(sets: list[np.ndarray], y: np.ndarray, most: int = 64, least_z: float = 4.0) -> np.ndarray:
     """Words that stand in positive texts far more often than chance and text length explain, the most telling first."""
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -67,7 +67,7 @@ def telling_words(sets: list[np.ndarray], y: np.ndarray, most: int = 64, least_z
     share = max(y[row].mean() if len(row) else 0, 1e-9)
     z = (positive - total * share) / np.sqrt(total * share * (1 - share) + 1.0)
     order = np.argsort(-z, kind="stable")[:most]
-    return np.sort(words[order[(z[order] >= least_z) & (positive[order] >= 3)]])
+    return np.sort(words[order[(z[order] >= least_z) & (positive[order] >= 5)]])
 
 
 def fit_link(sets: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> Link:

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 
 from pixelyard.llm.compression_quality import quality_model, score_quality, train_quality
-from pixelyard.llm.toxicity import CATEGORIES, SEEDS, detect_toxicity, score_chain, train_chain, without_copies
+from pixelyard.llm.toxicity import CATEGORIES, detect_toxicity, score_chain, train_chain, without_copies
 
 PLAIN = ["river", "house", "walks", "under", "slowly", "green", "carry", "window", "stone", "and", "the", "of"]
 JUNK = ["@@", "##", "$$$", "CLICK", "!!!", "FREE", ">>", "%%"]
@@ -19,7 +19,7 @@ def corpus(n=400):
         good, toxic = rng.random() < 0.7, rng.random() < 0.3
         words = [rng.choice(PLAIN if good or rng.random() < 0.5 else JUNK) for _ in range(rng.randint(30, 120))]
         if toxic:
-            words.insert(rng.randrange(len(words)), rng.choice(rng.choice(list(SEEDS.values()))))
+            words.insert(rng.randrange(len(words)), rng.choice(["idiot", "trash", "scum"]))
         docs.append((i, " ".join(words)))
         labels.append((i, int(good), int(toxic)))
     return docs, labels
