@@ -21,7 +21,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows
     return [(r["text"] or "").encode() for r in rows], np.array([r["label"] for r in rows], np.int64)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 25) -> np.ndarray:
     """Weights (the last is the intercept's) of a ridge logistic regression, by Newton's method."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
@@ -31,7 +31,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
         w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-3:
             break
     return w
 

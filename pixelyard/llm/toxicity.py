@@ -24,19 +24,23 @@ CATEGORIES = (*SEEDS, "toxic")
 
 
 def word_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """Each text's distinct lower-cased words as sorted 64-bit hashes."""
+    """Each text's distinct lower-cased words, and their beginnings of 3 to 6 bytes, as sorted 64-bit hashes."""
     out: list[np.ndarray] = []
     for a, b in pieces(texts):
         buf, _, ends = join_texts([t.translate(LOWER) for t in texts[a:b]])
         starts, stops, upto = words_of(buf, ends, LETTER_WORDS)
-        hashed = slice_hashes(buf, starts, stops)
+        hashed = np.stack([slice_hashes(buf, starts, stops), *(mix(slice_hashes(buf, starts, np.minimum(stops, starts + n)) + np.uint64(n)) for n in BEGINNINGS)])
         low = 0
         for high in upto.tolist():
-            out.append(np.unique(hashed[low:high]))
+            out.append(np.unique(hashed[:, low:high]))
             low = high
     return out
 
 
+#: lengths of beginnings
+BEGINNINGS = (3, 4, 5, 6)
+
+
 @dataclass
 class Link:
     """One classifier of the chain: the words it looks at and its weights for them, earlier probabilities and 1."""
@@ -56,23 +60,36 @@ def presence(sets: list[np.ndarray], words: np.ndarray) -> np.ndarray:
     return x
 
 
-def telling_words(sets: list[np.ndarray], y: np.ndarray, most: int = 64, least_z: float = 4.0) -> np.ndarray:
-    """Words that stand in positive texts far more often than chance and text length explain, the most telling first."""
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    words, at = np.unique(flat, return_inverse=True)
-    positive = np.bincount(at, y[row], len(words)) if len(words) else np.zeros(0)
-    total = np.bincount(at, minlength=len(words))
+@dataclass
+class Counted:
+    """Words of all texts, and for each word of each text its number and the text's."""
+
+    words: np.ndarray
+    at: np.ndarray
+    row: np.ndarray
+
+    @staticmethod
+    def of(sets: list[np.ndarray]) -> Counted:
+        words, at = np.unique(np.concatenate(sets), return_inverse=True)
+        return Counted(words, at, np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+
+
+def telling_words(counted: Counted, taken: np.ndarray, y: np.ndarray, most: int = 128, least_z: float = 4.0) -> np.ndarray:
+    """Words that, in the texts taken, stand in positive ones far more often than chance and text length explain."""
+    inside = taken[counted.row]
+    at, label = counted.at[inside], y[counted.row[inside]]
+    positive, total = np.bincount(at, label, len(counted.words)), np.bincount(at, minlength=len(counted.words))
     # longer texts have more words: the share of positive text, by words
-    share = max(y[row].mean() if len(row) else 0, 1e-9)
+    share = max(label.mean() if len(label) else 0, 1e-9)
     z = (positive - total * share) / np.sqrt(total * share * (1 - share) + 1.0)
-    order = np.argsort(-z, kind="stable")[:most]
-    return np.sort(words[order[(z[order] >= least_z) & (positive[order] >= 5)]])
+    fine = np.flatnonzero((z >= least_z) & (positive >= 5) & (2 * positive >= total))
+    return np.sort(counted.words[fine[np.argsort(-z[fine], kind="stable")[:most]]])
 
 
-def fit_link(sets: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> Link:
-    words = telling_words(sets, y)
-    return Link(words, fit_logistic(np.column_stack([presence(sets, words), earlier]), y, ridge=0.5))
+def fit_link(sets: list[np.ndarray], counted: Counted, taken: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Link:
+    """A classifier fitted to the texts taken."""
+    words, rows = telling_words(counted, taken, y), np.flatnonzero(taken)
+    return Link(words, fit_logistic(np.column_stack([presence([sets[i] for i in rows], words), earlier[rows]]), y[rows], ridge=0.5))
 
 
 def apply_link(link: Link, sets: list[np.ndarray], earlier: np.ndarray) -> np.ndarray:
@@ -106,17 +123,18 @@ def train_chain(texts: list[bytes], toxic: np.ndarray, folds: int = 5) -> list[L
     keep = without_copies(texts)
     texts, toxic = [texts[i] for i in keep], toxic[keep]
     sets = word_sets(texts)
+    counted, everything = Counted.of(sets), np.ones(len(sets), bool)
     seeds = {c: word_sets([" ".join(ws).encode()])[0] for c, ws in SEEDS.items()}
     fold = np.arange(len(texts)) % folds
     earlier = np.zeros((len(texts), 0))
     chain = []
     for category in CATEGORIES:
         y = toxic if category == "toxic" else (presence(sets, seeds[category]).any(axis=1)).astype(np.int64)
-        chain.append(fit_link(sets, earlier, y))
+        chain.append(fit_link(sets, counted, everything, earlier, y))
         out = np.zeros(len(texts))
         for f in range(folds):
-            inside, outside = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-            link = fit_link([sets[i] for i in outside], earlier[outside], y[outside])
+            inside = np.flatnonzero(fold == f)
+            link = fit_link(sets, counted, fold != f, earlier, y)
             out[inside] = apply_link(link, [sets[i] for i in inside], earlier[inside])
         earlier = np.column_stack([earlier, out])
     return chain
