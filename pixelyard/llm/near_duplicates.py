@@ -106,7 +106,7 @@ def near_duplicates(
     threshold: int = 75,
     size: int = 128,
     band_rows: int = 4,
-    rounds: int = 6,
+    rounds: int = 3,
     frequent_elements: int = 200_000,
 ) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
@@ -182,7 +182,8 @@ def near_duplicates(
     centre = ranked.groupBy("key").agg(F.max(F.struct("degree", "first", "n")).alias("c")).select("key", (-F.col("c.first")).alias("b"), F.col("c.n").alias("m"), F.col("c.degree").alias("reach"))
     offers = ranked.join(centre, "key").where((F.col("rep") != F.col("b")) & fits)
     offers = offers.groupBy("rep", "b").agg(F.struct(F.count(F.lit(1)).alias("agree"), F.max("reach").alias("reach"), F.col("b").alias("to")).alias("o"))
-    labels = merge(verify(offers.groupBy("rep").agg(F.max("o").alias("o")).select(F.col("rep").alias("a"), F.col("o.to").alias("b"))))
+    homes = cut_lineage(offers.groupBy("rep").agg(F.max("o").alias("o")).select(F.col("rep").alias("a"), F.col("o.to").alias("b")))
+    labels = merge(verify(homes))
 
     # Two sets that are linked share one of the first n - ceil(threshold * n / 100) + 1 elements of each, in any
     # order of all elements that puts none apart.  Frequent elements go last here, so a passage that many texts
@@ -190,7 +191,7 @@ def near_duplicates(
     # eighth of the sets; that only bends the order.
     def mixed(known: DataFrame) -> DataFrame:
         """Members of the keys that have several labels."""
-        labelled = known.join(labels.withColumnRenamed("node", "rep"), "rep").select("key", "rep", "n", F.col("root").alias("label"))
+        labelled = known.drop("label").join(labels.withColumnRenamed("node", "rep"), "rep").withColumnRenamed("root", "label")
         several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
         return labelled.join(several, "key", "left_semi")
 
@@ -216,7 +217,21 @@ def near_duplicates(
             row, element = row[order][keep], element[order][keep]
             yield pa.RecordBatch.from_arrays([pa.array(element), batch.column("rep").take(pa.array(row)), pa.array(size[row])], ["key", "rep", "n"])
 
-    members = cut_lineage(mixed(unsettled.mapInArrow(leading, "key long, rep long, n long"))).drop("label")
+    # Texts that chose one centre are told apart by what they changed in it.  Two sets differ by the symmetric
+    # difference of their changes; changes that no other text made (own) count in full, of the others (met) at
+    # least the difference in number does.  far says that this alone is more than a link allows.
+    once = unsettled.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).where("c = 1").select("rep")
+    housed = unsettled.join(once, "rep").join(homes.select(F.col("a").alias("rep"), F.col("b").alias("home")), "rep")
+    base = full.groupBy("rep").agg(F.first("elements").alias("base")).withColumnRenamed("rep", "home")
+    change = housed.join(base, "home").select("rep", "home", F.size("elements").alias("n"), F.explode(F.concat(F.array_except("elements", "base"), F.array_except("base", "elements"))).alias("e"))
+    change = change.withColumn("own", F.count(F.lit(1)).over(Window.partitionBy("home", "e")) == 1)
+    bounds = change.groupBy("rep", "home").agg(F.max("n").alias("size"), F.count_if("own").alias("own"), F.count_if(~F.col("own")).alias("met"))
+    room = (100 - threshold) * F.col("size")
+    bounds = bounds.select("rep", "home", ((100 + threshold) * (F.col("own") + F.col("met")) - room).alias("up"), ((100 + threshold) * (F.col("own") - F.col("met")) - room).alias("down"))
+    near = (F.col("home").isNull() | F.col("home2").isNull() | (F.col("home") != F.col("home2"))) | ((F.col("up") + F.col("down2") <= 0) & (F.col("up2") + F.col("down") <= 0))
+
+    members = cut_lineage(mixed(unsettled.mapInArrow(leading, "key long, rep long, n long")).join(bounds, "rep", "left"))
+    sides = [F.col(c).alias(f"{c}2") for c in ("home", "up", "down")]
     for turn in range(rounds):
         known = cut_lineage(mixed(members))
         tally = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
@@ -225,14 +240,15 @@ def near_duplicates(
             break
         last = open_pairs <= 4 * rows + 10_000 or turn == rounds - 1
         if last:
-            other = known.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"))
+            other = known.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"), *sides)
             pairs = known.join(other, "key").where("label < to")
         else:
             drawn = F.xxhash64("rep", F.lit(turn))
             probes = known.withColumn("place", F.row_number().over(Window.partitionBy("key", "label").orderBy(drawn))).where("place <= 3")
-            new = known.groupBy("key").agg(F.min(F.struct(drawn.alias("drawn"), "rep", "n", "label")).alias("c")).select("key", F.col("c.rep").alias("b"), F.col("c.n").alias("m"), F.col("c.label").alias("to"))
+            new = known.groupBy("key").agg(F.min(F.struct(drawn.alias("drawn"), "rep", "n", "label", "home", "up", "down")).alias("c")).select("key", "c.*")
+            new = new.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"), *sides)
             pairs = probes.join(new, "key").where("label <> to")
-        labels = merge(verify(pairs.where(fits).select(F.col("rep").alias("a"), "b").distinct()))
+        labels = merge(verify(pairs.where(fits & near).select(F.col("rep").alias("a"), "b").distinct()))
         if last:
             break
     full.unpersist()
