@@ -53,34 +53,46 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, found: np.ndarray,
     norm_q, norm_c = length(turned_q), length(turned_c)
     rest_q, rest_c = length(turned_q[:, lead:]), length(turned_c[:, lead:])
     threshold = np.full(len(queries), -np.inf)
+    exact = norm_q.max(initial=0.0) * norm_c.max(initial=0.0) < 2.0**52  # all products are whole numbers in double precision
+    whole_q, whole_c = queries.astype(np.float64), found.astype(np.float64)
     best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    for a in range(0, len(found), step):
-        b = min(len(found), a + step)
+    a = 0
+    while a < len(found):
+        b = min(len(found), a + min(step, max(2 * k, a)))
         slack = 1e-9 * (1 + norm_q * norm_c[a])  # for rounding in the bounds
         live = np.flatnonzero(norm_q * norm_c[a] + slack >= threshold)
         if not len(live):
             break
         bound = turned_q[live, :lead] @ turned_c[a:b, :lead].T
         bound += rest_q[live, None] * rest_c[None, a:b]
-        q, c = np.nonzero(bound + slack[live, None] >= threshold[live, None])
-        q, c = live[q], c + a
-        other = own[c] != query_ids[q]
-        q, c = q[other], c[other]
-        score = np.empty(len(q), np.int64)
-        for x in range(0, len(q), 1 << 16):
-            part = slice(x, x + (1 << 16))
-            score[part] = np.einsum("ij,ij->i", queries[q[part]], found[c[part]])
-        keep = score >= threshold[q]
-        q, c, score = np.concatenate([best[0], q[keep]]), np.concatenate([best[1], c[keep]]), np.concatenate([best[2], score[keep]])
+        may = bound + slack[live, None] >= threshold[live, None]
+        if exact and np.count_nonzero(may) * 16 > may.size:  # many pairs are left: one matrix product for all
+            full = np.rint(whole_q[live] @ whole_c[a:b].T)
+            q, c = np.nonzero(may & (full >= threshold[live, None]))
+            score = full[q, c].astype(np.int64)
+            q, c = live[q], c + a
+        else:
+            q, c = np.nonzero(may)
+            q, c = live[q], c + a
+            score = np.empty(len(q), np.int64)
+            for x in range(0, len(q), 1 << 16):
+                part = slice(x, x + (1 << 16))
+                score[part] = np.einsum("ij,ij->i", queries[q[part]], found[c[part]])
+        keep = (own[c] != query_ids[q]) & (score >= threshold[q])
+        touched = np.zeros(len(queries), bool)
+        touched[q[keep]] = True
+        old = touched[best[0]]
+        q, c, score = np.concatenate([best[0][old], q[keep]]), np.concatenate([best[1][old], c[keep]]), np.concatenate([best[2][old], score[keep]])
         by = np.lexsort((ids[c], -score, q))
         q, c, score = q[by], c[by], score[by]
-        first = np.searchsorted(q, q)
-        keep = np.arange(len(q)) - first < k
-        best = (q[keep], c[keep], score[keep])
-        counts = np.bincount(best[0], minlength=len(queries))
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        q, c, score = q[keep], c[keep], score[keep]
+        counts = np.bincount(q, minlength=len(queries))
         last = np.cumsum(counts) - 1
         enough = counts == k
-        threshold[enough] = best[2][last[enough]]
+        threshold[enough] = score[last[enough]]
+        best = (np.concatenate([best[0][~old], q]), np.concatenate([best[1][~old], c]), np.concatenate([best[2][~old], score]))
+        a = b
     return best[0], order[best[1]], best[2]
 
 
