@@ -1,12 +1,83 @@
-"""Corpus pipeline: quality classifier, near-duplicates, substring deduplication, decontamination, mixing."""
+"""Corpus pipeline: quality, near-duplicates, repeated passages, benchmark contamination, source mix.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.  The columns of
+documents go through; the last stage adds the mix.  Documents without an id are left out by the first
+stage, as no later one could tell them apart.  Null and empty texts are documents like others: the
+quality score decides on them, they have no near-duplicates, no passages and no contamination, and the
+mix takes no words of them.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelyard.llm.compression_quality import quality_model, score_quality
+from pixelyard.llm.decontamination import contamination, find_contamination
+from pixelyard.llm.mixing import mix_sources
+from pixelyard.llm.near_duplicates import near_duplicates
+from pixelyard.llm.phrase_automata import phrase_dedup
+from pixelyard.llm.shared import shared_folder
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.3 or more."""
+    docs = docs.select(*COLUMNS).where("doc_id is not null")
+    model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, model).where("predicted = 1").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component; of rows with one id and text, one."""
+    docs = docs.select(*COLUMNS).where("doc_id is not null")
+    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    left = docs.join(kept, "doc_id", "left_semi")
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return (left.dropDuplicates(["doc_id"]) if repeated else left).select(*COLUMNS)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of 13-word passages that start in a document with a smaller id too.
+
+    A text that loses none stays as it is; what is left of others is joined by spaces.  A document that
+    loses all of its words goes.
+    """
+    done = phrase_dedup(docs.select(*COLUMNS), carry=True).where("n_removed = 0 or n_removed < n_units")
+    return done.select("doc_id", F.col("kept_text").alias("text"), "rest.lang", "rest.source", F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("rest.n_chars")).alias("n_chars"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less than a twentieth of whose words stand in windows of the benchmark."""
+    found = contamination(find_contamination(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True))
+    return found.where("not contaminated").select("doc_id", "text", "rest.lang", "rest.source", "rest.n_chars")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with the mix's size, source_size, target and taken (words taken, repeats counted)."""
+    taken = mix_sources(docs).dropDuplicates(["doc_id"])
+    return docs.select(*COLUMNS).join(taken, "doc_id")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("passages", passages),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+]
+#: the first stage is a trained classifier, which SQL can't express; tests hold all stages against brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages over documents, each written to the shared folder and read again."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

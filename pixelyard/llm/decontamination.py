@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .repeats import nullable
 from .textops import LETTER_WORDS, LOWER, byte_texts, join_texts, mix, pieces, slice_hashes, words_of
 
 TABLE_BITS = 18
@@ -110,13 +111,14 @@ def find_contamination(
     item_text_col: str = "text",
     window: int = 13,
     block_bytes: int = 4 << 20,
+    carry: bool = False,
 ) -> DataFrame:
     """One row per document: id, n_words, hits (array of [from, to) word numbers) and items (sorted ids as strings).
 
     Words are runs of digits, lower-cased letters and characters beyond ASCII.  A window is `window`
     consecutive words of an item, or the whole of an item with fewer; items without words have none.
     Null and empty documents have no words and no hits; null item ids are left out, repeated items count
-    once.  Other columns are left out.
+    once.  Other columns are left out; with carry, text and the struct `rest` of all others come back.
 
     The benchmark is searched in blocks of items of about block_bytes bytes, each compiled and broadcast by
     itself and passed over all documents in the same scan, so neither the driver nor an executor holds more
@@ -154,13 +156,17 @@ def find_contamination(
                 for a, z in zip(low.tolist(), upto.tolist()):
                     cut = inside[a:z]
                     spans.append(np.flatnonzero(np.diff(cut.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist() if cut.any() else [])
+                given = [batch.column(c).slice(first, last - first) for c in carried[:1]] + [nullable(batch.column(c).slice(first, last - first)) for c in carried[1:]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(first, last - first), pa.array(upto - low, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
-                    ["id", "n_words", "hits", "items"],
+                    [batch.column("id").slice(first, last - first), *given, pa.array(upto - low, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
+                    ["id", *carried, "n_words", "hits", "items"],
                 )
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(search, "id long, n_words long, hits array<array<long>>, items array<string>").withColumnRenamed("id", id_col)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*others, F.lit(0).alias("_")).alias("rest")] if carry else []))
+    carried = ["text", "rest"] if carry else []
+    kinds = "".join(f"{c} {source.schema[c].dataType.simpleString()}, " for c in carried)
+    return source.mapInArrow(search, f"id long, {kinds}n_words long, hits array<array<long>>, items array<string>").withColumnRenamed("id", id_col)
 
 
 def contamination(found: DataFrame) -> DataFrame:

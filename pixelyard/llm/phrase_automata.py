@@ -72,9 +72,9 @@ def resolve_phrases(window: int):
     return resolve
 
 
-def phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 5, **sizes: int) -> DataFrame:
+def phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 5, **options: int) -> DataFrame:
     """Removes each word in a passage of `window` words that also starts in a document with a smaller id.
 
     Columns and cases: see repeats.mark_repeats; units are words of spaces.
     """
-    return mark_repeats(docs, Windows(window, gram, words=True), resolve_phrases(window), id_col, text_col, **sizes)
+    return mark_repeats(docs, Windows(window, gram, words=True), resolve_phrases(window), id_col, text_col, **options)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .compression_quality import quality_model, score_quality
 from .decontamination import contamination, find_contamination
+from .html_layout import extract_text
 from .inner_products import top_inner_products
+from .licences import scan_licences
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
 from .phrase_automata import phrase_dedup
@@ -39,6 +41,14 @@ def op4_fair_queue_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op6_licence_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_wu_manber_decontamination": op2_wu_manber_decontamination,
     "op3_top_inner_products": op3_top_inner_products,
     "op4_fair_queue_mixing": op4_fair_queue_mixing,
+    "op5_html_layout": op5_html_layout,
+    "op6_licence_diagonals": op6_licence_diagonals,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_phrase_dedup": op8_phrase_dedup,
     "op9_classifier_chain_toxicity": op9_classifier_chain_toxicity,

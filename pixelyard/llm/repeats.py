@@ -237,6 +237,7 @@ def mark_repeats(
     text_col: str = "text",
     chunk_bytes: int = 4 << 20,
     bucket_bytes: int = 8 << 20,
+    carry: bool = False,
 ) -> DataFrame:
     """Removes each unit that a window covers which also starts in a document with a smaller id.
 
@@ -244,14 +245,16 @@ def mark_repeats(
     runs), kept_sha256 (of the kept bytes, or of the kept words joined by one space)
     and spans, an array of [from, to) unit numbers.  Null and empty texts have no
     units; a null id counts as larger than any other; rows with equal ids don't remove
-    each other's units.  Other columns are left out.
+    each other's units.  Other columns are left out; with carry they come back as the struct `rest`, and
+    kept_text has what is kept.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] if carry else []
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*others, F.lit(0).alias("_")).alias("rest"))
     total = source.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     weight = (total[0] or 0) + 16 * total[1]
     chunks, buckets = max(1, weight // chunk_bytes), max(1, weight // bucket_bytes)
     # a row number isn't needed: equal ids may share a chunk, a null id is spread by its text
-    texts = source.select("id", "text", F.pmod(F.xxhash64(F.coalesce("id", F.crc32(F.coalesce("text", F.lit(""))))), F.lit(chunks)).alias("chunk"))
+    texts = source.select("id", "text", *(["rest"] if carry else []), F.pmod(F.xxhash64(F.coalesce("id", F.crc32(F.coalesce("text", F.lit(""))))), F.lit(chunks)).alias("chunk"))
     keyed = texts.groupBy("chunk")
 
     def send_anchors(key: tuple, table: pa.Table) -> pa.Table:
@@ -319,6 +322,7 @@ def mark_repeats(
         return rows(FLAGS, out)
 
     result = pa.schema([("id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])
+    given = f", rest {source.schema['rest'].dataType.simpleString()}, kept_text string" if carry else ""
 
     def finish(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         ids, data, table = load(_filled(table))
@@ -337,6 +341,7 @@ def mark_repeats(
         number, first, last, least = number[order], first[order], last[order], least[order]
         begin = np.searchsorted(number, np.arange(len(c.least) + 1))
         out: list[list] = [[], [], [], [], [], []]
+        texts_: list[bytes] = []
         for i, p in enumerate(found):
             seg, content = c.which[i], c.content[i]
             n = begin[content + 1] - begin[content]
@@ -354,30 +359,41 @@ def mark_repeats(
             for d, (a, b) in enumerate(zip(p.lo.tolist(), p.hi.tolist())):
                 edges = np.flatnonzero(np.diff(gone[a:b].astype(np.int8), prepend=0, append=0)) if b > a else np.zeros(0, np.int64)
                 spans = edges.reshape(-1, 2)
-                kept = hashlib.sha256()
+                kept = b""
                 if b > a:
                     parts, left = [], 0
                     for s, e in [*spans.tolist(), [b - a, b - a]]:
                         if s > left:
                             parts.append(raw[p.at[a + left] : p.to[a + s - 1]])
                         left = e
-                    kept.update((b" " if spec.words else b"").join(parts))
-                for column, x in zip(out, (table["real"][p.first + d].as_py(), b - a, int((spans[:, 1] - spans[:, 0]).sum()), len(spans), kept.hexdigest(), spans.tolist())):
+                    kept = (b" " if spec.words else b"").join(parts)
+                if carry:
+                    texts_.append(kept if len(spans) else data[p.first + d])
+                for column, x in zip(out, (table["real"][p.first + d].as_py(), b - a, int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans.tolist())):
                     column.append(x)
-        return rows(result, out)
+        done = rows(result, out)
+        if carry:  # rows are in the sorted table's order
+            done = done.append_column("rest", nullable(table["rest"])).append_column("kept_text", pa.array([t.decode("utf-8", "ignore") for t in texts_], pa.string()))
+        return done
 
     flags = keyed.applyInArrow(send_anchors, _ddl(ANCHORS)).groupBy("bucket").applyInArrow(answer_anchors, _ddl(FLAGS))
     segments = keyed.cogroup(flags.groupBy("chunk")).applyInArrow(send_segments, _ddl(SEGMENTS))
     marks = segments.groupBy("bucket").applyInArrow(answer_segments, _ddl(FLAGS))
-    done = keyed.cogroup(flags.unionByName(marks).groupBy("chunk")).applyInArrow(finish, _ddl(result))
+    done = keyed.cogroup(flags.unionByName(marks).groupBy("chunk")).applyInArrow(finish, _ddl(result) + given)
     return done.withColumnRenamed("id", id_col)
 
 
+def nullable(column: pa.Array | pa.ChunkedArray) -> pa.Array | pa.ChunkedArray:
+    """A struct column whose fields may all be null, as a declared schema has them."""
+    return column.cast(pa.struct([f.with_nullable(True) for f in column.type]))
+
+
 def _filled(table: pa.Table) -> pa.Table:
     """Keeps the given id as `real`; a null id counts as the largest."""
     real = table["id"]
     filled = pa.array([NO_ID if x is None else x for x in real.to_pylist()], pa.int64()) if real.null_count else real
-    return pa.table({"id": filled, "text": table["text"], "real": real})
+    filled_table = pa.table({"id": filled, "text": table["text"], "real": real})
+    return filled_table.append_column("rest", table["rest"]) if "rest" in table.column_names else filled_table
 
 
 _NAMES = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string", pa.list_(pa.list_(pa.int64())): "array<array<long>>"}

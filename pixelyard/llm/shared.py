@@ -7,16 +7,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The frame, written to the session's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that spark.checkpoint.dir names.
 
-    The folder is the one that spark.checkpoint.dir names; a folder of our own is made
-    only where the session names none, as in tests on one machine.
+    A folder of our own is made only where the session names none, as in tests on one machine.
     """
-    spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The frame, written to the shared folder."""
+    spark: SparkSession = df.sparkSession
+    shared_folder(spark)
     # a checkpoint keeps its plan's constraints, which self-joins in a loop would multiply
     key = "spark.sql.constraintPropagation.enabled"
     before = spark.conf.get(key)

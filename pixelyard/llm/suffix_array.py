@@ -144,9 +144,9 @@ def resolve_segments(window: int):
     return resolve
 
 
-def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 50, gram: int = 24, **sizes: int) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 50, gram: int = 24, **options: int) -> DataFrame:
     """Removes each byte in a string of min_bytes bytes that also starts in a document with a smaller id.
 
     Columns and cases: see repeats.mark_repeats; units are UTF-8 bytes.
     """
-    return mark_repeats(docs, Windows(min_bytes, gram, words=False), resolve_segments(min_bytes), id_col, text_col, **sizes)
+    return mark_repeats(docs, Windows(min_bytes, gram, words=False), resolve_segments(min_bytes), id_col, text_col, **options)
