@@ -184,6 +184,11 @@ def near_duplicates(
     offers = offers.groupBy("rep", "b").agg(F.struct(F.count(F.lit(1)).alias("agree"), F.max("reach").alias("reach"), F.col("b").alias("to")).alias("o"))
     homes = cut_lineage(offers.groupBy("rep").agg(F.max("o").alias("o")).select(F.col("rep").alias("a"), F.col("o.to").alias("b")))
     labels = merge(verify(homes))
+    above = homes.select(F.col("a").alias("b"), F.col("b").alias("top"))
+    for _ in range(2):  # a centre's own centre, so that a group has one
+        homes = homes.join(above, "b", "left").select("a", F.coalesce("top", "b").alias("b"))
+    tops = homes.select(F.col("b").alias("a"), "b").distinct()
+    homes = cut_lineage(homes.unionByName(tops.join(homes.select("a"), "a", "left_anti")))
 
     # Two sets that are linked share one of the first n - ceil(threshold * n / 100) + 1 elements of each, in any
     # order of all elements that puts none apart.  Frequent elements go last here, so a passage that many texts
