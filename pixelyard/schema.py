@@ -1,0 +1,20 @@
+"""Schemas of the tables that operators exchange, as DDL."""
+
+IMAGE = "image_id long, width int, height int, channels int, data binary"  # rows, BGR or BGRA, 8 bits
+TENSOR = "image_id long, output_idx int, name string, shape array<long>, f32 array<float>, i64 array<long>"
+DETECTION = "image_id long, det_id long, class_id int, x1 double, y1 double, x2 double, y2 double, confidence double"
+MASK = "struct<width int, height int, data array<float>>"
+KEYPOINTS = "array<struct<x: float, y: float, score: float>>"
+GALLERY = "id long, embedding array<float>"
+SLICE = "image_id long, slice_no int, x_min int, y_min int, x_max int, y_max int"
+FEATURES = "image_id long, kp_idx int, x float, y float, nx float, ny float, score float, descriptor array<float>"
+
+#: fixed values: order of body keypoints, edges of the body's skeleton, face points
+BODY_KEYPOINTS = (
+    "nose", "left_eye", "right_eye", "left_ear", "right_ear", "left_shoulder", "right_shoulder", "left_elbow", "right_elbow",
+    "left_wrist", "right_wrist", "left_hip", "right_hip", "left_knee", "right_knee", "left_ankle", "right_ankle",
+)
+SKELETON = ((0, 1), (0, 2), (1, 3), (2, 4), (5, 6), (5, 7), (7, 9), (6, 8), (8, 10), (5, 11), (6, 12), (11, 12), (11, 13), (13, 15), (12, 14), (14, 16))
+FACE_POINTS = ("right_eye", "left_eye", "nose", "mouth_right", "mouth_left")
+#: fixed values: ranges of the 133 whole-body keypoints
+WHOLEBODY_SEGMENTS = {"body": (0, 17), "foot": (17, 23), "face": (23, 91), "left_hand": (91, 112), "right_hand": (112, 133)}
