@@ -120,9 +120,10 @@ def near_duplicates(
     are candidates: with 32 bands of 4 rows a pair at 0.75 is missed with probability 5e-6, a group
     practically never.  Verification compares full sets.  It first tries each representative against
     one well-connected centre of its buckets.  Where a bucket still has several labels, its members
-    seek each other by the leading elements of their sets, which is exact: if that would make many pairs,
-    a few members of each label against new centres first, and at last all pairs whose labels differ.  So
-    no candidate link is left out, and a group whose members are already connected costs no pairs.
+    seek each other in two exact ways: those of one centre by their rarest changes to it, others by the
+    leading elements of their sets, and if the latter would make many pairs, a few members of each label
+    against new centres first.  So no candidate link is left out, and neither a group whose members are
+    connected nor one of many texts just below the threshold costs all of its pairs.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -130,7 +131,7 @@ def near_duplicates(
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = byte_texts(batch.column("text"))
-            for a, b in pieces(texts, 4 << 20):
+            for a, b in pieces(texts, 1 << 20):
                 sets = shingle_sets(texts[a:b], shingle)
                 bands = band_hashes(fast_sketch(sets, size), band_rows).view(np.int64)
                 count = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -149,7 +150,7 @@ def near_duplicates(
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = byte_texts(batch.column("text"))
-            for a, b in pieces(texts, 4 << 20):
+            for a, b in pieces(texts, 1 << 20):
                 sets = shingle_sets(texts[a:b], shingle)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
@@ -157,7 +158,7 @@ def near_duplicates(
 
     labels = cut_lineage(members.select(F.col("rep").alias("node")).distinct().withColumn("root", F.col("node")))
     full = source.join(labels.select(F.col("node").alias("id")), "id", "left_semi").mapInArrow(sets_of, "rep long, elements array<long>")
-    full = full.repartition(parallel, "rep").persist(StorageLevel.MEMORY_AND_DISK)
+    full = full.repartition(parallel, "rep").persist(StorageLevel.DISK_ONLY)
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Those of the pairs a-b that are linked."""
@@ -222,38 +223,58 @@ def near_duplicates(
             row, element = row[order][keep], element[order][keep]
             yield pa.RecordBatch.from_arrays([pa.array(element), batch.column("rep").take(pa.array(row)), pa.array(size[row])], ["key", "rep", "n"])
 
-    # Texts that chose one centre are told apart by what they changed in it.  Two sets differ by the symmetric
-    # difference of their changes; changes that no other text made (own) count in full, of the others (met) at
-    # least the difference in number does.  far says that this alone is more than a link allows.
+    # Texts with one home (the centre they chose, or its centre) are told apart by what they changed in it: two
+    # sets differ by the symmetric difference of their changes.  So homes link their texts with few changes, and
+    # others need a number of changes in common that only rare ones are sought for.  Changes that no other text
+    # made (own) are never in common; of the others (met) the rarest ones of each text suffice.
+    t, s = 100 + threshold, 100 - threshold  # linked: t * difference <= s * sum of sizes
     once = unsettled.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).where("c = 1").select("rep")
     housed = unsettled.join(once, "rep").join(homes.select(F.col("a").alias("rep"), F.col("b").alias("home")), "rep")
-    base = full.groupBy("rep").agg(F.first("elements").alias("base")).withColumnRenamed("rep", "home")
-    change = housed.join(base, "home").select("rep", "home", F.size("elements").alias("n"), F.explode(F.concat(F.array_except("elements", "base"), F.array_except("base", "elements"))).alias("e"))
-    change = change.withColumn("own", F.count(F.lit(1)).over(Window.partitionBy("home", "e")) == 1)
-    bounds = change.groupBy("rep", "home").agg(F.max("n").alias("size"), F.count_if("own").alias("own"), F.count_if(~F.col("own")).alias("met"))
-    room = (100 - threshold) * F.col("size")
-    bounds = bounds.select("rep", "home", ((100 + threshold) * (F.col("own") + F.col("met")) - room).alias("up"), ((100 + threshold) * (F.col("own") - F.col("met")) - room).alias("down"))
-    near = (F.col("home").isNull() | F.col("home2").isNull() | (F.col("home") != F.col("home2"))) | ((F.col("up") + F.col("down2") <= 0) & (F.col("up2") + F.col("down") <= 0))
-
-    members = cut_lineage(mixed(unsettled.mapInArrow(leading, "key long, rep long, n long")).join(bounds, "rep", "left"))
-    sides = [F.col(c).alias(f"{c}2") for c in ("home", "up", "down")]
+    base = full.groupBy("rep").agg(F.first("elements").alias("base"), F.count(F.lit(1)).alias("c")).where("c = 1").select(F.col("rep").alias("home"), "base")
+    changes = F.concat(F.array_except("elements", "base"), F.array_except("base", "elements"))
+    change = housed.join(base, "home").select("rep", "home", F.size("elements").alias("n"), F.size("base").alias("of"), F.explode_outer(changes).alias("e"))
+    change = cut_lineage(change.withColumn("makers", F.count("e").over(Window.partitionBy("home", "e"))))
+    counts = change.groupBy("rep", "home").agg(F.max("n").alias("n"), F.max("of").alias("of"), F.count_if(F.col("makers") == 1).alias("own"), F.count_if(F.col("makers") > 1).alias("met"))
+    d = F.col("own") + F.col("met")
+    near_home = t * d <= s * (F.col("n") + F.col("of"))
+    # changes in common with one of the other side at least: if that side is far from home, or (long) if it may be near
+    common = lambda bound: F.floor(bound / (2 * t)) + 1
+    short = F.col("met") - common(t * d + s * (F.col("of") - F.col("n"))) + 1
+    long = F.col("met") - common(t * d - s * (F.col("of") + F.col("n"))) + 1
+    bounds = cut_lineage(counts.select("rep", "home", "n", near_home.alias("inside"), short.alias("short"), long.alias("long"), (t * d - s * F.col("n")).alias("up"), (t * (F.col("own") - F.col("met")) - s * F.col("n")).alias("down")))
+    labels = merge(bounds.where("inside").select(F.col("rep").alias("a"), F.col("home").alias("b")))
+    rarest = F.row_number().over(Window.partitionBy("rep", "home").orderBy("makers", "e"))
+    sought = change.where("makers > 1").withColumn("place", rarest).select("rep", "home", "e", "place").join(bounds, ["rep", "home"])
+    sought = sought.join(labels.withColumnRenamed("node", "rep"), "rep").withColumnRenamed("root", "label")
+    one = sought.where("place <= short").select("home", "e", "rep", "n", "label", "up", "down", "inside")
+    two = sought.where("not inside and place <= long").select("home", "e", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"), F.col("up").alias("up2"), F.col("down").alias("down2"), (F.col("place") <= F.col("short")).alias("early"))
+    may = (F.col("label") != F.col("to")) & fits & (F.col("up") + F.col("down2") <= 0) & (F.col("up2") + F.col("down") <= 0)
+    pairs = one.join(two, ["home", "e"]).where(may & (F.col("inside") | (F.col("early") & (F.col("rep") < F.col("b")))))
+    labels = merge(verify(pairs.select(F.col("rep").alias("a"), "b").distinct()))
+
+    # texts with different homes, or none
+    house = F.coalesce("home", -1 - F.col("rep")).alias("home")
+    members = unsettled.mapInArrow(leading, "key long, rep long, n long").join(bounds.select("rep", "home"), "rep", "left").select("key", "rep", "n", house)
+    apart = members.groupBy("key").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("key")
+    members = cut_lineage(mixed(members.join(apart, "key", "left_semi")))
     for turn in range(rounds):
         known = cut_lineage(mixed(members))
-        tally = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        tally = known.groupBy("key", "home").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
         rows, open_pairs = tally.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
         if not rows:
             break
         last = open_pairs <= 4 * rows + 10_000 or turn == rounds - 1
+        away = F.col("home") != F.col("home2")
         if last:
-            other = known.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"), *sides)
+            other = known.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"), F.col("home").alias("home2"))
             pairs = known.join(other, "key").where("label < to")
         else:
             drawn = F.xxhash64("rep", F.lit(turn))
             probes = known.withColumn("place", F.row_number().over(Window.partitionBy("key", "label").orderBy(drawn))).where("place <= 3")
-            new = known.groupBy("key").agg(F.min(F.struct(drawn.alias("drawn"), "rep", "n", "label", "home", "up", "down")).alias("c")).select("key", "c.*")
-            new = new.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"), *sides)
+            new = known.groupBy("key").agg(F.min(F.struct(drawn.alias("drawn"), "rep", "n", "label", "home")).alias("c")).select("key", "c.*")
+            new = new.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"), F.col("home").alias("home2"))
             pairs = probes.join(new, "key").where("label <> to")
-        labels = merge(verify(pairs.where(fits & near).select(F.col("rep").alias("a"), "b").distinct()))
+        labels = merge(verify(pairs.where(fits & away).select(F.col("rep").alias("a"), "b").distinct()))
         if last:
             break
     full.unpersist()

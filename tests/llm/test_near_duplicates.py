@@ -88,3 +88,24 @@ def test_sketch_estimates_similarity():
     assert (sketch[:3] != np.uint64(2**64 - 1)).all()
     assert abs((sketch[0] == sketch[1]).mean() - 5 / 7) < 0.15
     assert len(shingle_sets([b"", b"a b", b"a b c d e f"], 5)[2]) == 2
+
+
+def test_crowd_around_the_threshold(spark):
+    """Many copies of one text, a good part of them just below or above the threshold to the original and to each other."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 160):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4, 4, 5, 5, 6])):
+            copy[at] = rng.choice([f"v{k}" for k in range(6)])
+        if rng.random() < 0.3:
+            del copy[rng.randrange(100) :][: rng.randint(1, 12)]
+        rows.append((i, " ".join(copy)))
+    for i in range(160, 190):  # copies of copies far from the original
+        copy = rows[rng.randrange(100, 160)][1].split()
+        copy[rng.randrange(len(copy))] = "x"
+        rows.append((i, " ".join(copy)))
+    rng.shuffle(rows)
+    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute(rows) and len({r[2] for r in got}) > 3
