@@ -14,6 +14,7 @@ from .inner_products import top_inner_products
 from .licences import scan_licences
 from .mixing import mix_sources
 from .near_duplicates import near_duplicates
+from .oracles import ORACLES  # noqa: F401
 from .phrase_automata import phrase_dedup
 from .suffix_array import suffix_array_dedup
 from .toxicity import detect_toxicity
@@ -69,7 +70,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-ORACLES: dict[str, str] = {}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_wu_manber_decontamination": op2_wu_manber_decontamination,
