@@ -28,13 +28,18 @@ NOTICES: dict[str, str] = {
 }
 
 
-def templates(docs: DataFrame) -> DataFrame:
-    """A row per pair of neighbouring words of each phrase and notice: a fixed, small table."""
+def template_rows() -> list[tuple]:
+    """template, label, phrase, words, at, one, two: each pair of neighbouring words of each phrase and notice."""
     rows = []
     for number, (text, label) in enumerate([*PHRASES.items(), *NOTICES.items()]):
         words = text.split()
         rows += [(number, label, number < len(PHRASES), len(words), at, words[at], words[at + 1]) for at in range(len(words) - 1)]
-    table = docs.sparkSession.createDataFrame(rows, "template int, label string, phrase boolean, words int, at int, one string, two string")
+    return rows
+
+
+def templates(docs: DataFrame) -> DataFrame:
+    """template_rows as a fixed, small table, with the hash of each pair."""
+    table = docs.sparkSession.createDataFrame(template_rows(), "template int, label string, phrase boolean, words int, at int, one string, two string")
     return table.withColumn("gram", F.xxhash64("one", "two"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licences import template_rows
+
 SPACES = "[^\\x20\\x09-\\x0D]+"
 LETTERS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -59,11 +61,27 @@ e AS (SELECT x, y FROM l JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 r AS (SELECT doc_id AS node, doc_id AS reach FROM d UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.reach)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(reach) AS component_id FROM r GROUP BY 1) c USING (doc_id)"""
 
+TEMPLATES = ", ".join(f"({a}, '{b}', {c}, {d}, {e}, '{f}', '{g}')" for a, b, c, d, e, f, g in template_rows())
+
+OP6 = f"""WITH t(template, label, phrase, words, i, one, two) AS (VALUES {TEMPLATES}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{LETTERS}') AS u FROM documents),
+g AS (SELECT r, p - 1 AS place, u[p] AS one, u[p + 1] AS two FROM d, LATERAL (SELECT unnest(range(1, len(u))) AS p)),
+v AS (SELECT r, template, label, phrase, words, place - i AS diagonal, i, place FROM g JOIN t USING (one, two)),
+l AS (SELECT r, template, label, phrase, words, diagonal, list(DISTINCT i) AS ats, min(place) AS low, max(place) AS high FROM v GROUP BY 1, 2, 3, 4, 5, 6),
+m AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER w <= 2 THEN 0 ELSE 1 END AS apart FROM l WHERE NOT phrase WINDOW w AS (PARTITION BY r, template ORDER BY diagonal)),
+n AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS island FROM m),
+s AS (SELECT r, template, label, words, island, len(list_distinct(flatten(list(ats)))) AS hits, min(low) AS low, max(high) AS high FROM n GROUP BY 1, 2, 3, 4, 5),
+f AS (SELECT r, label, diagonal AS start, true AS base, CAST(1 AS DOUBLE) AS share FROM l WHERE phrase AND len(ats) = words - 1
+UNION ALL SELECT r, label, low, false, hits / CAST(words - 1 AS DOUBLE) FROM s WHERE hits / CAST(words - 1 AS DOUBLE) >= 0.7 AND high + 2 - low <= 1.5 * words + 1),
+a AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM f GROUP BY 1)
+SELECT doc_id, CAST(len(u) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score FROM d LEFT JOIN a USING (r)"""
+
 ORACLES: dict[str, str] = {
     "op1_suffix_array_dedup": OP1,
     "op2_wu_manber_decontamination": OP2,
     "op3_top_inner_products": OP3,
     "op4_fair_queue_mixing": OP4,
+    "op6_licence_diagonals": OP6,
     "op7_near_duplicates": OP7,
     "op8_phrase_dedup": OP8,
 }
