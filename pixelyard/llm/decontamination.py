@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import nullable
+from .shared import cut_lineage
 from .textops import LETTER_WORDS, LOWER, byte_texts, join_texts, mix, pieces, slice_hashes, words_of
 
 TABLE_BITS = 18
@@ -111,6 +112,7 @@ def find_contamination(
     item_text_col: str = "text",
     window: int = 13,
     block_bytes: int = 4 << 20,
+    pass_bytes: int = 64 << 20,
     carry: bool = False,
 ) -> DataFrame:
     """One row per document: id, n_words, hits (array of [from, to) word numbers) and items (sorted ids as strings).
@@ -121,52 +123,68 @@ def find_contamination(
     once.  Other columns are left out; with carry, text and the struct `rest` of all others come back.
 
     The benchmark is searched in blocks of items of about block_bytes bytes, each compiled and broadcast by
-    itself and passed over all documents in the same scan, so neither the driver nor an executor holds more
-    of it than the block's tables in memory for each block; there is no shuffle.
+    itself.  Blocks of pass_bytes together are searched in one scan of the documents; where there are more,
+    the documents with their hits so far are written to the shared folder between scans.  So neither the
+    driver nor an executor holds more than one pass's tables, and there is no shuffle.
     """
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     context = docs.sparkSession.sparkContext
-    blocks, batch, size = [], [], 0
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*others, F.lit(0).alias("_")).alias("rest")] if carry else []))
+    structs = {c: frame.schema[c].dataType.simpleString() for c in frame.columns if c != "id"}
+
+    def searched(frame: DataFrame, blocks: list, kept: list[str]) -> DataFrame:
+        """One pass: hits and items of the blocks, with those of passes before."""
+        again = "hits" in frame.columns
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = byte_texts(batch.column("text"))
+                for first, last in pieces(texts, 4 << 20):
+                    part = batch.slice(first, last - first)
+                    raw, at, to, upto = spaced_words([t.translate(LOWER) for t in texts[first:last]], LETTER_WORDS)
+                    words = slice_hashes(np.frombuffer(raw, np.uint8), at, to)
+                    low = np.concatenate([[0], upto[:-1]])
+                    change = np.zeros(len(words) + 1, np.int32)
+                    found: list[set[str]] = [set(x) for x in part.column("items").to_pylist()] if again else [set() for _ in range(last - first)]
+                    if again:
+                        for d, spans in enumerate(part.column("hits").to_pylist()):
+                            for start, stop in spans:
+                                change[low[d] + start] += 1
+                                change[low[d] + stop] -= 1
+                    for block in blocks:
+                        for searcher, owners in zip(*block.value):
+                            start, pattern = searcher.search(raw, words, at, to, low, upto)
+                            np.add.at(change, start, 1)
+                            np.add.at(change, start + searcher.length, -1)
+                            for d, p in set(zip((np.searchsorted(upto, start, "right")).tolist(), pattern.tolist())):
+                                found[d].update(owners[p])
+                    inside = np.cumsum(change[:-1]) > 0
+                    hits = []
+                    for a, z in zip(low.tolist(), upto.tolist()):
+                        cut = inside[a:z]
+                        hits.append(np.flatnonzero(np.diff(cut.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist() if cut.any() else [])
+                    given = [nullable(part.column(c)) if c == "rest" else part.column(c) for c in kept]
+                    results = [pa.array(upto - low, pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([part.column("id"), *given, *results], ["id", *kept, "n_words", "hits", "items"])
+
+        return frame.mapInArrow(search, "id long, " + "".join(f"{c} {structs[c]}, " for c in kept) + "n_words long, hits array<array<long>>, items array<string>")
+
+    blocks, batch, size, held = [], [], 0, 0
     for row in items.orderBy("item").toLocalIterator():
-        batch.append((row["item"], row["text"].encode()))
-        size += len(batch[-1][1])
         if size >= block_bytes:
             blocks.append(context.broadcast(compile_items(batch, window)))
+            held += size
             batch, size = [], 0
+        if held >= pass_bytes:
+            frame = cut_lineage(searched(frame, blocks, list(structs)))
+            for block in blocks:
+                block.destroy()
+            blocks, held = [], 0
+        batch.append((row["item"], row["text"].encode()))
+        size += len(batch[-1][1])
     blocks.append(context.broadcast(compile_items(batch, window)))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = byte_texts(batch.column("text"))
-            for first, last in pieces(texts, 4 << 20):
-                raw, at, to, upto = spaced_words([t.translate(LOWER) for t in texts[first:last]], LETTER_WORDS)
-                words = slice_hashes(np.frombuffer(raw, np.uint8), at, to)
-                low = np.concatenate([[0], upto[:-1]])
-                change = np.zeros(len(words) + 1, np.int32)
-                found: list[set[str]] = [set() for _ in range(last - first)]
-                for block in blocks:
-                    for searcher, owners in zip(*block.value):
-                        start, pattern = searcher.search(raw, words, at, to, low, upto)
-                        np.add.at(change, start, 1)
-                        np.add.at(change, start + searcher.length, -1)
-                        for d, p in set(zip((np.searchsorted(upto, start, "right")).tolist(), pattern.tolist())):
-                            found[d].update(owners[p])
-                inside = np.cumsum(change[:-1]) > 0
-                spans = []
-                for a, z in zip(low.tolist(), upto.tolist()):
-                    cut = inside[a:z]
-                    spans.append(np.flatnonzero(np.diff(cut.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist() if cut.any() else [])
-                given = [batch.column(c).slice(first, last - first) for c in carried[:1]] + [nullable(batch.column(c).slice(first, last - first)) for c in carried[1:]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(first, last - first), *given, pa.array(upto - low, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
-                    ["id", *carried, "n_words", "hits", "items"],
-                )
-
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*others, F.lit(0).alias("_")).alias("rest")] if carry else []))
-    carried = ["text", "rest"] if carry else []
-    kinds = "".join(f"{c} {source.schema[c].dataType.simpleString()}, " for c in carried)
-    return source.mapInArrow(search, f"id long, {kinds}n_words long, hits array<array<long>>, items array<string>").withColumnRenamed("id", id_col)
+    return searched(frame, blocks, list(structs) if carry else []).withColumnRenamed("id", id_col)
 
 
 def contamination(found: DataFrame) -> DataFrame:

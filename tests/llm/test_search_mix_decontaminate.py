@@ -129,8 +129,8 @@ def test_decontamination(spark):
         want.append((i, len(w), len(hit), len(found), sha, len(hit) > 0 and 20 * len(hit) >= len(w)))
     left = spark.createDataFrame([(t, i, 0) for i, t in docs], "text string, doc_id long, item int").repartition(3)
     right = spark.createDataFrame(items, "item_id long, text string")
-    for block in (1 << 20, 40):
-        got = contamination(find_contamination(left, right, block_bytes=block)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    for block, once in ((1 << 20, 1 << 20), (40, 1 << 20), (40, 90)):
+        got = contamination(find_contamination(left, right, block_bytes=block, pass_bytes=once)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
         assert sorted(map(tuple, got)) == sorted(want)
     empty = contamination(find_contamination(left, right.limit(0)))
     assert empty.where("n_hit > 0 or contaminated").count() == 0 and empty.count() == len(docs)
