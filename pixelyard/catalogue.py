@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import geometry, rules, text, vectors
-from .operators import decode, planes, search, sequences, slicing, suppression
+from .operators import decode, masks, planes, raster, search, sequences, slicing, suppression
+from .plans import pipelines, scoring
+from .sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -502,3 +504,50 @@ SELECT id, CASE WHEN g >= b + 15 AND g >= r + 15 THEN 'green' WHEN b >= r + 15 A
 def plate_colours(spark, sf_dir):
     means = fx.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "CAST(o_custkey * 7 % 256 AS DOUBLE) AS b", "CAST(o_orderkey * 13 % 256 AS DOUBLE) AS g", "CAST(o_custkey * 31 % 256 AS DOUBLE) AS r")
     return means.select("id", rules.plate_colour(F.col("b"), F.col("g"), F.col("r")).alias("colour"))
+
+
+# ---- whole images and scoring
+
+
+def plane_sql(columns: str, rest: str = "") -> str:
+    return f"WITH {fx.SQL_GRAY} SELECT {columns} FROM gray {rest}"
+
+
+@query(plane_sql("img AS image_id, y // 2 AS y, x // 2 AS x, 0 AS channel, CAST(floor(avg(v) + 0.5) AS INT) AS v", "GROUP BY 1, 2, 3"))
+def resize_area(spark, sf_dir):
+    """Images at half their size, each pixel the mean of four."""
+    return tables.pixels(raster.map_images(fx.images(spark, sf_dir), lambda a: raster.resize(a, 4, 4, "area")))
+
+
+@query(plane_sql("img AS image_id, y, x, c AS channel, v", ", range(0, 3) t(c)"))
+def gray_to_bgr(spark, sf_dir):
+    return tables.pixels(raster.map_images(fx.images(spark, sf_dir), lambda a: raster.convert_colour(a, "gray2bgr")))
+
+
+@query(plane_sql("img AS image_id, y + 1 AS y, x + 2 AS x, v", "") + " UNION ALL SELECT vec_id, y, x, 114 FROM embeddings, range(0, 10) a(y), range(0, 12) b(x) WHERE NOT (y BETWEEN 1 AND 8 AND x BETWEEN 2 AND 9)")
+def constant_border(spark, sf_dir):
+    return tables.pixels(raster.map_images(fx.images(spark, sf_dir), lambda a: raster.border(a, 1, 1, 2, 2, 114))).drop("channel")
+
+
+@query(plane_sql("img AS parent, y - img % 3 AS y, x - img % 4 AS x, v", "WHERE y BETWEEN img % 3 AND img % 3 + 3 AND x BETWEEN img % 4 AND img % 4 + 2"))
+def box_crops(spark, sf_dir):
+    """The pixels of one box of each image, as a cascade's second model gets them."""
+    rows = fx.images(spark, sf_dir)
+    boxes = rows.selectExpr("image_id", "1L AS det_id", "CAST(image_id % 4 AS DOUBLE) AS x1", "CAST(image_id % 3 AS DOUBLE) AS y1", "CAST(image_id % 4 + 3 AS DOUBLE) AS x2", "CAST(image_id % 3 + 4 AS DOUBLE) AS y2")
+    parts = pipelines.crops(rows, boxes)
+    return tables.pixels(parts).join(parts.select("image_id", "parent"), "image_id").select("parent", "y", "x", "v")
+
+
+@query(plane_sql("img AS id, CAST(count(*) AS INT) AS area, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2", "WHERE v > 150 GROUP BY 1"))
+def mask_boxes(spark, sf_dir):
+    mask = F.struct("width", "height", F.transform("data", lambda v: v.cast("float")).alias("data"))
+    rows = fx.gray_arrays(spark, sf_dir).select(F.col("img").alias("id"), mask.alias("m"))
+    return rows.select("id", masks.area(F.col("m"), 150.0).alias("area"), masks.box(F.col("m"), 150.0).alias("b")).where("b is not null").select("id", "area", "b.*")
+
+
+@query("SELECT vec_id AS id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS class_id FROM embeddings")
+def scored_top1(spark, sf_dir):
+    """A model of one softmax, run in the workers, and its best class."""
+    rows = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    scored = scoring.output(scoring.score_vectors(rows, scoring.onnx_scorer(scoring.micro_model("Softmax", 64, axis=1)), "embedding", "id"))
+    return scored.select(F.col("image_id").alias("id"), vectors.argmax(F.col("f32")).alias("class_id"))

@@ -64,3 +64,9 @@ def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr("user_id AS seq_id", "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame_no", "event_id", "value", "ts")
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gray images as image rows with one channel."""
+    codes = F.array_join(F.transform("data", lambda v: F.lpad(F.hex(v), 2, "0")), "")
+    return gray_arrays(spark, sf_dir).select(F.col("img").alias("image_id"), "width", "height", F.lit(1).alias("channels"), F.unhex(codes).alias("data"))

@@ -34,12 +34,15 @@ def providers(wanted: list[str] | None = None) -> list[str]:
     return [*(p for p in wanted or ["CUDAExecutionProvider"] if p in there and p != "CPUExecutionProvider"), "CPUExecutionProvider"]
 
 
-def open_session(path: str, threads: int = 1, wanted: list[str] | None = None):
+def open_session(path: str | bytes, threads: int = 1, wanted: list[str] | None = None):
+    """A session of a model file, or of a model given as bytes."""
     import onnxruntime
 
-    if not path.strip():
+    if isinstance(path, bytes):
+        pass
+    elif not path.strip():
         raise InvalidArgument("a model needs a path")
-    if not os.path.exists(path):
+    elif not os.path.exists(path):
         raise ModelNotFound(path)
     options = onnxruntime.SessionOptions()
     options.intra_op_num_threads = threads
@@ -47,13 +50,17 @@ def open_session(path: str, threads: int = 1, wanted: list[str] | None = None):
     return onnxruntime.InferenceSession(path, options, providers(wanted))
 
 
-def onnx_scorer(path: str, threads: int = 1) -> Callable[[], Scorer]:
-    """Opens a model on the worker; a path that isn't there is looked up among the files sent with addFile."""
+def onnx_scorer(path: str | bytes, threads: int = 1) -> Callable[[], Scorer]:
+    """Opens a model on the worker; a path that isn't there is looked up among the files sent with addFile.
+
+    A small model may be given as bytes, which then travel with the task.
+    """
 
     def open_() -> Scorer:
         from pyspark import SparkFiles
 
-        session = open_session(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), threads)
+        here = isinstance(path, bytes) or os.path.exists(path)
+        session = open_session(path if here else SparkFiles.get(os.path.basename(path)), threads)
         name, outputs = session.get_inputs()[0].name, [o.name for o in session.get_outputs()]
         return lambda batch: list(zip(outputs, session.run(None, {name: batch})))
 
