@@ -25,10 +25,10 @@ def normalize_prompt(prompt: Column) -> Column:
 
 
 def phrase_around(tokens: Column, at: Column, stops: list[str]) -> Column:
-    """The tokens between the last stop before position `at` (from 0) and the next one after it, joined by blanks."""
+    """The tokens between the last stop before position `at` (from 0) and the next one, joined by blanks; none if the position is a stop."""
     places = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.element_at(tokens, i + 1).isin(*stops))
     low = F.coalesce(F.array_max(F.filter(places, lambda i: i <= at)), F.lit(-1))
-    high = F.coalesce(F.array_min(F.filter(places, lambda i: i > at)), F.size(tokens))
+    high = F.coalesce(F.array_min(F.filter(places, lambda i: i >= at)), F.size(tokens))
     return F.array_join(F.slice(tokens, low + 2, F.greatest(high - low - 1, F.lit(0))), " ")
 
 
