@@ -7,17 +7,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text", where=None) -> tuple[list[bytes], np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text", where=None, longest: int = 256 << 10) -> tuple[list[bytes], np.ndarray]:
     """Texts and 0/1 labels of at most max_rows labelled documents, in an order fixed by their ids.
 
     The only thing a model sees of the corpus: max_rows bounds what is collected and what is broadcast
-    to find it.  Rows without an id or a label are left out.
+    to find it, and texts of more than `longest` bytes aren't in the sample.  Rows without an id or a label
+    are left out.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     known = known if where is None else known.where(where)
     key = F.md5(F.col(id_col).cast("string"))
     chosen = known.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label"), key.alias("draw")).orderBy("draw", "label").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").orderBy("draw", "label", "text").limit(max_rows).collect()
+    fits = F.coalesce(F.octet_length(text_col), F.lit(0)) <= longest
+    rows = docs.where(fits).select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").orderBy("draw", "label", "text").limit(max_rows).collect()
     return [(r["text"] or "").encode() for r in rows], np.array([r["label"] for r in rows], np.int64)
 
 
