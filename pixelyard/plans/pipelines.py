@@ -84,3 +84,27 @@ def enhance(images: DataFrame, steps: dict[str, Callable[[np.ndarray], np.ndarra
         if name in steps:
             images = raster.map_images(images, steps[name])
     return images
+
+
+def grounded_segmentation(boxes: DataFrame, masks: DataFrame, box_id: str = "det_id") -> DataFrame:
+    """Boxes found by text (with their phrase) and the best of the masks prompted by each; null where there is none."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("image_id", box_id).orderBy(F.desc("mask_score"), "mask_no"))
+    best = masks.withColumn("_place", place).where("_place = 1").select("image_id", box_id, "mask", "mask_score")
+    return boxes.join(best, ["image_id", box_id], "left")
+
+
+def boxes_of_masks(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Segmentations of slices as candidates for merging: their boxes are their masks', those without one go."""
+    from ..operators.masks import box
+
+    found = rows.where("mask is not null").withColumn("_box", box(F.col("mask"), threshold)).where("_box is not null")
+    return found.drop("x1", "y1", "x2", "y2").select("*", *[F.col(f"_box.{c}").cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]).drop("_box")
+
+
+def text_in_cells(cells: DataFrame, words: DataFrame, table: str = "table_id") -> DataFrame:
+    """Cells (cell_no, x1..y2) with the words (x, y of their centres, text) inside them, in reading order."""
+    inside = (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2"))
+    found = cells.join(words, table).where(inside).groupBy(table, "cell_no").agg(F.array_sort(F.collect_list(F.struct("y", "x", "text"))).alias("w"))
+    return cells.join(found.select(table, "cell_no", F.array_join(F.transform("w", lambda s: s["text"]), " ").alias("text")), [table, "cell_no"], "left")

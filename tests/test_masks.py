@@ -48,3 +48,17 @@ def test_palette(spark):
     want = spark.range(12).select(palette_colour(F.col("id")).alias("c")).orderBy("id").collect()
     assert [tuple(c) for c in masks.palette(plane).reshape(-1, 3).tolist()] == [tuple(r["c"]) for r in want]
     assert masks.overlay(np.zeros((6, 8, 3), np.uint8), plane).shape == (6, 8, 3)
+
+
+def test_pipelines_of_masks(spark):
+    from pixelyard.plans import pipelines
+
+    mask = F.struct(F.lit(2).alias("width"), F.lit(2).alias("height"), F.array(*[F.lit(v) for v in (0.0, 0.9, 0.0, 0.9)]).alias("data"))
+    boxes = spark.createDataFrame([(1, 1, "cat", 0.0, 0.0, 9.0, 9.0), (1, 2, "dog", 0.0, 0.0, 9.0, 9.0)], "image_id long, det_id long, phrase string, x1 double, y1 double, x2 double, y2 double")
+    found = spark.createDataFrame([(1, 1, 0, 0.4), (1, 1, 1, 0.8)], "image_id long, det_id long, mask_no int, mask_score double").withColumn("mask", mask)
+    joined = pipelines.grounded_segmentation(boxes, found)
+    assert sorted((r["phrase"], r["mask_score"]) for r in joined.collect()) == [("cat", 0.8), ("dog", None)]
+    assert [(r["x1"], r["y1"], r["x2"], r["y2"]) for r in pipelines.boxes_of_masks(joined).collect()] == [(1.0, 0.0, 1.0, 1.0)]
+    cells = spark.createDataFrame([(1, 0, 0.0, 0.0, 5.0, 5.0), (1, 1, 5.0, 0.0, 9.0, 5.0)], "table_id int, cell_no int, x1 double, y1 double, x2 double, y2 double")
+    words = spark.createDataFrame([(1, 3.0, 1.0, "b"), (1, 1.0, 1.0, "a")], "table_id int, x double, y double, text string")
+    assert sorted((r["cell_no"], r["text"]) for r in pipelines.text_in_cells(cells, words).collect()) == [(0, "a b"), (1, None)]
