@@ -83,18 +83,24 @@ def finger_extensions(keypoints: Column) -> list[Column]:
 
 def gesture(keypoints: Column, least_hit: float = 0.55) -> Column:
     """label and score of the best pattern (the first of equals), Unknown below least_hit; needs 21 points."""
-    stretched = finger_extensions(keypoints)
     p = lambda i: point(keypoints, i)
     upward = (p(3)["y"].cast("double") - p(4)["y"].cast("double")) / F.greatest(distance(p(3), p(4)), F.lit(1e-6))
-    hits = []
-    for order, (label, pattern) in enumerate(GESTURES):
-        hit = sum((e if on else 1 - e for e, on in zip(stretched, pattern)), F.lit(0.0)) / 5
-        if label.startswith("Thumb"):
-            hit = hit * ramp(upward if label == "Thumb_Up" else -upward, 0.2, 0.9)
-        hits.append(F.struct(hit.alias("score"), F.lit(-order).alias("order"), F.lit(label).alias("label")))
-    best = F.greatest(*hits)
-    label = F.when(best["score"] >= least_hit, best["label"]).otherwise("Unknown")
-    found = F.struct(label.alias("label"), best["score"].alias("score"))
+
+    def best_of(s: Column) -> Column:
+        hits = []
+        for order, (label, pattern) in enumerate(GESTURES):
+            hit = sum((s[f"e{i}"] if on else 1 - s[f"e{i}"] for i, on in enumerate(pattern)), F.lit(0.0)) / 5
+            if label.startswith("Thumb"):
+                hit = hit * ramp(s["up"] if label == "Thumb_Up" else -s["up"], 0.2, 0.9)
+            hits.append(F.struct(hit.alias("score"), F.lit(-order).alias("order"), F.lit(label).alias("label")))
+        return F.greatest(*hits)
+
+    # one-element arrays bind what is used often, so that it is computed, and compiled, once
+    measures = F.struct(*[e.alias(f"e{i}") for i, e in enumerate(finger_extensions(keypoints))], upward.alias("up"))
+    found = F.transform(
+        F.transform(F.array(measures), best_of),
+        lambda best: F.struct(F.when(best["score"] >= least_hit, best["label"]).otherwise("Unknown").alias("label"), best["score"].alias("score")),
+    )[0]
     return F.when(F.size(keypoints) == 21, found).otherwise(F.raise_error(F.lit("a gesture needs 21 keypoints")).cast("struct<label:string,score:double>"))
 
 

@@ -302,7 +302,8 @@ def test_streams(spark, tmp_path):
     frames.write.parquet(str(source))
     stream = spark.readStream.schema(frames.schema).parquet(str(source))
     query = batches.recent_frames(stream, 4).writeStream.format("memory").queryName("recent").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query.awaitTermination(15)  # a stream with timeouts runs on
+    query.stop()
     got = {r["seq_id"]: r["frames"] for r in spark.table("recent").collect()}
     assert got == {1: [1, 2, 3, 4], 2: [6, 7, 8, 9]}
 
