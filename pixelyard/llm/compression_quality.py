@@ -14,6 +14,17 @@ from pyspark.sql import functions as F
 from .labelled import fit_logistic, labelled_sample, predict_logistic
 from .textops import byte_texts
 
+#: bytes compressed at a time; far less than zstandard's window, so that the whole dictionary is in reach of every byte
+BLOCK = 64 << 10
+
+
+def compressed_size(kind: zstandard.ZstdCompressor, text: bytes) -> int:
+    """The sizes of a text's consecutive blocks together, each compressed against the dictionary by itself."""
+    if len(text) <= BLOCK:
+        return len(kind.compress(text))
+    view = memoryview(text)
+    return sum(len(kind.compress(view[a : a + BLOCK])) for a in range(0, len(text), BLOCK))
+
 
 @dataclass
 class CompressionModel:
@@ -39,10 +50,12 @@ class CompressionModel:
                 held.precompute_compress(level=self.level)
                 self.kinds.append(zstandard.ZstdCompressor(dict_data=held, level=self.level))
         bad, good = self.kinds
-        sizes = np.array([(len(bad.compress(t)), len(good.compress(t)), max(1, len(t))) for t in texts], np.float64).reshape(-1, 3)
+        sizes = np.array([(compressed_size(bad, t), compressed_size(good, t), max(1, len(t))) for t in texts], np.float64).reshape(-1, 3)
         b, g, n = sizes.T
         by_larger, by_length, ratio = (b - g) / np.maximum(b, g), (b - g) / n, np.log(g / n)
-        return np.column_stack([by_larger, by_length, ratio, np.log(n), by_larger**2, by_length**2, ratio**2, np.log(n) ** 2, by_length * np.log(n), by_larger * ratio])
+        # the length that a compressor sees at once: beyond it, sizes only grow in proportion
+        seen = np.log(np.minimum(n, BLOCK))
+        return np.column_stack([by_larger, by_length, ratio, seen, by_larger**2, by_length**2, ratio**2, seen**2, by_length * seen, by_larger * ratio])
 
     def calibrate(self, texts: list[bytes], labels: np.ndarray) -> None:
         x = self.measures(texts)

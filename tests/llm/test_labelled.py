@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from pixelyard.llm.compression_quality import quality_model, score_quality, train_quality
+from pixelyard.llm.compression_quality import BLOCK, quality_model, score_quality, train_quality
 from pixelyard.llm.toxicity import CATEGORIES, detect_toxicity, score_chain, train_chain, without_copies
 
 PLAIN = ["river", "house", "walks", "under", "slowly", "green", "carry", "window", "stone", "and", "the", "of"]
@@ -45,6 +45,20 @@ def test_quality_without_labels(spark):
     assert score_quality(left.limit(0), None).count() == 0
 
 
+def test_quality_reads_long_texts_to_their_end():
+    docs, labels = corpus()
+    model = train_quality([t.encode() for _, t in docs], np.array([q for _, q, _ in labels]))
+    rng = random.Random(4)
+    start, good, bad = (" ".join(rng.choices(kind, k=700_000)).encode()[: n * BLOCK] for kind, n in ((PLAIN + JUNK, 48), (PLAIN, 8), (JUNK, 8)))
+    assert len(start) == 3 << 20
+    # what a text adds to the difference of the sizes does not depend on how much stands before it
+    difference = lambda t: round(model.measures([t])[0, 1] * len(t))
+    for text in (good, bad):
+        assert difference(start + text) - difference(start) == difference(text) != 0
+    # nor does the score on how often a text stands there
+    assert np.allclose(model.score([good, good * 8, bad, bad * 8]), np.repeat(model.score([good, bad]), 2))
+
+
 def test_toxicity(spark):
     docs, labels = corpus()
     left = spark.createDataFrame([(t, i) for i, t in docs[:300] + [(1000, None), (1001, "")]] + [("You are a SCUM of the river", 1002)], "text string, doc_id long")
