@@ -45,6 +45,15 @@ def gallery_search_topk(spark, sf_dir):
     return found.select("query_id", F.col("label").alias("id"), "rank", r6("similarity").alias("similarity"))
 
 
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, g.label AS id, max({COSINE}) AS s FROM embeddings q, embeddings g WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s) SELECT query_id, id, CAST(rank AS INT) AS rank, round(s, 6) AS similarity FROM r WHERE rank <= 3""")
+def gallery_search_hundredths(spark, sf_dir):
+    """Each vector whose id is divisible by 100 as a query against a gallery of all vectors, by label."""
+    rows = fx.table(spark, sf_dir, "embeddings")
+    found = search.gallery_search(rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), rows, 3, entry_id="label")
+    return found.select("query_id", F.col("label").alias("id"), "rank", r6("similarity").alias("similarity"))
+
+
 @query(f"WITH {fx.SQL_LOGITS} SELECT id, k, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 7) AS v FROM logits")
 def l2_normalize(spark, sf_dir):
     return fx.scores(spark, sf_dir).select("id", F.posexplode(vectors.l2_normalize(F.col("scores"))).alias("k", "v")).withColumn("v", F.round("v", 7))
