@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import fit_logistic, labelled_sample, predict_logistic
+from .labelled import LONGEST, fit_logistic, labelled_sample, predict_logistic
 from .textops import byte_texts
 
 #: bytes compressed at a time; far less than zstandard's window, so that the whole dictionary is in reach of every byte
@@ -108,7 +108,10 @@ def score_quality(docs: DataFrame, model: CompressionModel | None, id_col: str =
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 6000) -> CompressionModel | None:
-    """A model from at most max_rows labelled rows whose crc32(id as text) mod 5 is not 0."""
+def quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 6000, longest: int = LONGEST) -> CompressionModel | None:
+    """A model from at most max_rows labelled rows whose crc32(id as text) mod 5 is not 0.
+
+    Texts of more than `longest` bytes are not learned from; score_quality scores them like any other.
+    """
     learn = F.crc32(F.col(id_col).cast("string")) % 5 != 0
-    return train_quality(*labelled_sample(docs, labels, "quality", max_rows, id_col, text_col, learn))
+    return train_quality(*labelled_sample(docs, labels, "quality", max_rows, id_col, text_col, learn, longest))

@@ -7,7 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text", where=None, longest: int = 256 << 10) -> tuple[list[bytes], np.ndarray]:
+#: bytes of the longest text that a sample has, so that max_rows bounds the driver's memory too
+LONGEST = 256 << 10
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text", where=None, longest: int = LONGEST) -> tuple[list[bytes], np.ndarray]:
     """Texts and 0/1 labels of at most max_rows labelled documents, in an order fixed by their ids.
 
     The only thing a model sees of the corpus: max_rows bounds what is collected and what is broadcast

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import fit_logistic, labelled_sample, predict_logistic
+from .labelled import LONGEST, fit_logistic, labelled_sample, predict_logistic
 from .near_duplicates import shingle_sets
 from .textops import LETTER_WORDS, LOWER, byte_texts, join_texts, mix, pieces, slice_hashes, words_of
 
@@ -151,14 +151,15 @@ def score_chain(chain: list[Link] | None, texts: list[bytes]) -> np.ndarray:
     return earlier
 
 
-def detect_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 6000, threshold: float = 0.5) -> DataFrame:
+def detect_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 6000, threshold: float = 0.5, longest: int = LONGEST) -> DataFrame:
     """One row per document: id, p_insult, p_contempt, p_disgust, score (of toxic), toxic (score >= threshold).
 
-    The chain is fitted to at most max_rows labelled rows; a row's words are its whole text's.  Null and empty
+    The chain is fitted to at most max_rows labelled rows, none with a text of more than `longest` bytes; all texts
+    are scored, and a row's words are its whole text's.  Null and empty
     texts get the probabilities of a text without words.  Without labels of both kinds all are 0.  Other columns
     are left out.
     """
-    chain = docs.sparkSession.sparkContext.broadcast(train_chain(*labelled_sample(docs, labels, "toxic", max_rows, id_col, text_col)))
+    chain = docs.sparkSession.sparkContext.broadcast(train_chain(*labelled_sample(docs, labels, "toxic", max_rows, id_col, text_col, longest=longest)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

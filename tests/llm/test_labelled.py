@@ -77,3 +77,14 @@ def test_chain_feeds_earlier_probabilities():
     p = score_chain(chain, [b"the river idiot", b"the river"])
     assert p.shape == (2, len(CATEGORIES)) and p[0, 0] > p[1, 0] and p[0, -1] > 0.5 > p[1, -1]
     assert without_copies([b"a b c d e f g", b"x", b"a b c d e f g", b""]).tolist() == [0, 1, 3]
+
+
+def test_longest_labelled_text(spark):
+    docs, labels = corpus(200)
+    left = spark.createDataFrame([(i, t + " " * 300_000) for i, t in docs], "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert quality_model(left, known, longest=300_000) is None and detect_toxicity(left, known).where("score > 0").count() == 0
+    short = spark.createDataFrame(docs, "doc_id long, text string")
+    assert quality_model(short, known, longest=max(len(t) for _, t in docs)) is not None
+    found = {r["doc_id"]: r["toxic"] for r in detect_toxicity(left, known, longest=1 << 20).collect()}
+    assert np.mean([found[i] == bool(t) for i, _, t in labels]) > 0.9
