@@ -2,16 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.  The columns of
 documents go through; the last stage adds the mix.  Documents without an id are left out by the first
-stage, as no later one could tell them apart.  Null and empty texts are documents like others: the
-quality score decides on them, they have no near-duplicates, no passages and no contamination, and the
-mix takes no words of them.
+stage.  Different texts of one id are documents of their own.  Null and empty texts are documents like
+others: the quality score decides on them, they have no near-duplicates, no passages and no
+contamination, and the mix takes no words of them.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelyard.llm.compression_quality import quality_model, score_quality
@@ -31,13 +31,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
+def repeats_ids(docs: DataFrame) -> bool:
+    return docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; of rows with one id and text, one."""
+    """The documents with the smallest id of each component; of rows with one id and text, one.
+
+    Of such rows the one with the smallest lang, source and n_chars stays.  All different texts of an id
+    stay or go together.
+    """
     docs = docs.select(*COLUMNS).where("doc_id is not null")
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
     left = docs.join(kept, "doc_id", "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return (left.dropDuplicates(["doc_id"]) if repeated else left).select(*COLUMNS)
+    if repeats_ids(docs):
+        place = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("lang", "source", "n_chars"))
+        left = left.withColumn("place", place).where("place = 1")
+    return left.select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +68,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with the mix's size, source_size, target and taken (words taken, repeats counted)."""
-    taken = mix_sources(docs).dropDuplicates(["doc_id"])
-    return docs.select(*COLUMNS).join(taken, "doc_id")
+    docs = docs.select(*COLUMNS).where("doc_id is not null")
+    if repeats_ids(docs):  # ids don't tell the rows apart
+        mixed = mix_sources(docs, carry=True)
+        return mixed.select("doc_id", *(f"rest.{c}" for c in COLUMNS[1:]), "size", "source_size", "target", "taken")
+    return docs.join(mix_sources(docs), "doc_id")
 
 
 STAGES = [

@@ -39,6 +39,7 @@ def mix_sources(
     weights: tuple[int, ...] = (5, 2, 1),
     epochs: int = 3,
     seed: int = 1,
+    carry: bool = False,
 ) -> DataFrame:
     """One row per input row: id, size, source_size, target, taken.
 
@@ -48,7 +49,7 @@ def mix_sources(
     taken as long as their sizes together don't exceed the size of the corpus.  taken counts the words
     of a document's taken copies, of which there are `epochs` at most.  A source without words has
     target 0.  A null source is a source; null ids and repeated rows are documents of their own.  Other
-    columns are left out.
+    columns are left out; with carry all columns but the id come back as the struct `rest`.
 
     Nothing is sorted in one place: running sums within a source go by buckets of the shuffled order,
     about as many as rows in each, and the cut is found from a histogram of finish times and then within
@@ -56,7 +57,8 @@ def mix_sources(
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = cut_lineage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")))
+    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != id_col)).alias("rest")] if carry else []
+    rows = cut_lineage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *rest))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     # a row a source: written once, as every later step needs it
     targets = cut_lineage(source_targets(sizes, weights, epochs))
@@ -90,4 +92,4 @@ def mix_sources(
         stands = F.struct(finish(e).alias("finish"), *order[1:])
         taken = taken + F.when(F.lit(True) if cut is None else stands < cut, 1).otherwise(0)
     taken = F.when(F.col("size") > 0, F.col("size") * taken).otherwise(0).cast("long")
-    return queued.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
+    return queued.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), *(["rest"] if carry else []))

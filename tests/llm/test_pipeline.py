@@ -102,3 +102,21 @@ def test_stages(spark, tables):
 def test_run(spark, tables):
     assert corpus_pipeline.run(spark, tables).where("taken > 0").count() > 0
     assert len([q for q in QUERIES if re.match(r"op\d+_", q)]) == 10
+
+
+def test_different_texts_of_one_id(spark, tables):
+    rng = random.Random(13)
+    text = lambda k: " ".join(f"v{rng.randrange(5000)}" for _ in range(k))
+    one, two, three = text(40), text(60), text(50)
+    rows = [(1, one, "en", "b", 1), (1, one, "en", "a", 1), (1, two, "de", "a", 2), (2, three, "en", "a", 3), (3, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    by_all = lambda rs: sorted(map(tuple, rs), key=repr)
+    docs = stages["near_dedup"](spark, docs, tables)
+    assert by_all(docs.collect()) == by_all(rows[1:])
+    mixed = stages["mix"](spark, docs, tables)
+    assert by_all(mixed.select(*corpus_pipeline.COLUMNS).collect()) == by_all(rows[1:])
+    assert all(r["size"] == len(words(r["text"])) and r["source_size"] == 150 for r in mixed.collect())
+    for name in ("passages", "decontaminate"):
+        docs = stages[name](spark, docs, tables)
+        assert by_all((r["doc_id"], r["text"] or None) for r in docs.collect()) == by_all(r[:2] for r in rows[1:])
