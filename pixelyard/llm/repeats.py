@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import SPACE_WORDS, byte_texts, gram_hashes, join_texts, mix, pieces, prefix_sums, slice_hashes, words_of
+from .textops import SPACE_WORDS, byte_texts, equal_slices, gram_hashes, join_texts, mix, pieces, prefix_sums, slice_hashes, words_of
 
 NO_ID = np.iinfo(np.int64).max
 MASK48 = np.uint64((1 << 48) - 1)
@@ -66,21 +66,23 @@ class Piece:
     to: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
-    # segments: document, first and last window as unit numbers, anchor's hash, content's hash
+    # segments: document, first and last window as unit numbers, anchor's hash
     doc: np.ndarray
     start: np.ndarray
     stop: np.ndarray
     anchor: np.ndarray
-    content: np.ndarray
 
 
-def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    span = 1
-    while span * 2 <= width:
-        x = np.minimum(x[:-span], x[span:])
-        span *= 2
-    rest = width - span
-    return x if rest == 0 else np.minimum(x[:-rest], x[rest:])
+def first_least(x: np.ndarray, width: int) -> np.ndarray:
+    """For each window of `width` neighbours, the place of its least number, of equal ones the first."""
+    place, span = np.arange(len(x)), 1
+    while span < width:
+        step = min(span, width - span)
+        right = x[step:] < x[:-step]
+        x = np.where(right, x[step:], x[:-step])
+        place = np.where(right, place[step:], place[:-step])
+        span += step
+    return place
 
 
 def cut(texts: list[bytes], spec: Windows) -> Iterator[Piece]:
@@ -98,7 +100,6 @@ def cut(texts: list[bytes], spec: Windows) -> Iterator[Piece]:
             at = to - length
             lo, hi = np.concatenate([[0], upto[:-1]]).astype(np.int64), upto.astype(np.int64)
             grams = gram_hashes(slice_hashes(buf, at, to), spec.gram)
-            sums, inverse = prefix_sums(buf)
         else:
             at = np.arange(len(buf))
             to, lo, hi = at + 1, starts, ends
@@ -106,9 +107,7 @@ def cut(texts: list[bytes], spec: Windows) -> Iterator[Piece]:
             n = max(0, len(buf) - spec.gram + 1)
             with np.errstate(over="ignore"):
                 grams = mix((sums[len(sums) - n :] - sums[:n]) * inverse[:n])
-        bits = np.uint64(max(1, int(len(grams)).bit_length()))
-        low = (np.uint64(1) << bits) - np.uint64(1)
-        least = sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), spec.span) if len(grams) >= spec.span else np.zeros(0, np.uint64)
+        least = first_least(grams, spec.span) if len(grams) >= spec.span else np.zeros(0, np.int64)
         count = np.maximum(0, hi - lo - spec.window + 1)
         edge = np.zeros(len(least) + 1, np.int8)
         some = count > 0
@@ -119,14 +118,11 @@ def cut(texts: list[bytes], spec: Windows) -> Iterator[Piece]:
         if len(inside):
             begins = np.flatnonzero(np.concatenate([[True], (spot[1:] != spot[:-1]) | (inside[1:] != inside[:-1] + 1)]))
             start, stop = inside[begins], inside[np.concatenate([begins[1:], [len(inside)]]) - 1]
-            anchor = grams[(spot[begins] & low).astype(np.int64)]
+            anchor = grams[spot[begins]]
         else:
             start = stop = np.zeros(0, np.int64)
             anchor = np.zeros(0, np.uint64)
-        with np.errstate(over="ignore"):
-            s, e = at[start], to[np.minimum(stop + spec.window - 1, max(0, len(to) - 1))] if len(start) else start
-            content = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
-        yield Piece(a, buf, at, to, lo, hi, np.searchsorted(lo, start, "right") - 1, start, stop, anchor, content)
+        yield Piece(a, buf, at, to, lo, hi, np.searchsorted(lo, start, "right") - 1, start, stop, anchor)
 
 
 def spread(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -206,13 +202,18 @@ class Contents:
     content: list[np.ndarray]  # and their contents' numbers
 
 
-def contents_of(found: list[Piece], ids: np.ndarray, repeated: np.ndarray, buckets: int) -> Contents:
+def contents_of(found: list[Piece], ids: np.ndarray, repeated: np.ndarray, buckets: int, window: int) -> Contents:
     which = []
     for p in found:
         spot = np.searchsorted(repeated, p.anchor & MASK48)
         which.append(np.flatnonzero(repeated[np.minimum(spot, len(repeated) - 1)] == (p.anchor & MASK48)) if len(repeated) else np.zeros(0, np.int64))
     join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-    content = join([p.content[w] for p, w in zip(found, which)], np.uint64)
+    # all pieces as one buffer, to compare contents byte by byte
+    base = np.cumsum([0, *(len(p.buf) for p in found)])
+    buf = join([p.buf for p in found], np.uint8)
+    at = join([p.at[p.start[w]] + b for p, w, b in zip(found, which, base)], np.int64)
+    size = join([p.to[p.stop[w] + window - 1] + b for p, w, b in zip(found, which, base)], np.int64) - at
+    content = slice_hashes(buf, at, at + size)
     bucket = spread(join([p.anchor[w] for p, w in zip(found, which)], np.uint64), buckets)
     doc = join([ids[p.doc[w] + p.first] for p, w in zip(found, which)], np.int64)
     piece = np.repeat(np.arange(len(found)), [len(w) for w in which])
@@ -220,6 +221,10 @@ def contents_of(found: list[Piece], ids: np.ndarray, repeated: np.ndarray, bucke
     order = np.lexsort((content, bucket))
     c, k = content[order], bucket[order]
     new = np.concatenate([[True], (c[1:] != c[:-1]) | (k[1:] != k[:-1])]) if len(c) else np.zeros(0, bool)
+    alike = np.flatnonzero(~new)
+    if len(alike):
+        one, two = order[alike], order[alike - 1]
+        new[alike[(size[one] != size[two]) | ~equal_slices(buf, at[one], at[two], np.minimum(size[one], size[two]))]] = True
     first = np.flatnonzero(new)
     number = np.empty(len(c), np.int64)
     number[order] = np.cumsum(new) - 1
@@ -277,7 +282,7 @@ def mark_repeats(
     def send_segments(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         ids, data, _ = load(_filled(table))
         found = list(cut(data, spec))
-        c = contents_of(found, ids, repeated_anchors(found, ids, replies, buckets), buckets)
+        c = contents_of(found, ids, repeated_anchors(found, ids, replies, buckets), buckets, spec.window)
         raw = [p.buf.tobytes() for p in found]
         pack = zstandard.ZstdCompressor(level=1)
         out: list[list] = [[], [], [], [], []]
@@ -328,7 +333,7 @@ def mark_repeats(
         ids, data, table = load(_filled(table))
         found = list(cut(data, spec))
         kind = replies["kind"].to_numpy() if replies.num_rows else np.zeros(0, np.int32)
-        c = contents_of(found, ids, repeated_anchors(found, ids, replies.filter(pa.array(kind == 0)), buckets), buckets)
+        c = contents_of(found, ids, repeated_anchors(found, ids, replies.filter(pa.array(kind == 0)), buckets), buckets, spec.window)
         runs, base = [], {k: a for k, a, _ in by_bucket(c.bucket)}
         answers = replies.filter(pa.array(kind == 1))
         for k, x in zip(answers["bucket"].to_pylist(), answers["data"].to_pylist()):

@@ -63,11 +63,54 @@ def prefix_sums(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, inverse
 
 
+def lanes_of(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; beyond the end they are zeros."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+
+
 def slice_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[s:e] for each pair of bounds."""
-    sums, inverse = prefix_sums(buf)
-    with np.errstate(over="ignore"):
-        return mix((sums[ends] - sums[starts]) * inverse[starts])
+    """64-bit hashes of buf[s:e] for each pair of bounds: eight bytes after eight, mixed after each, the length first.
+
+    Not a polynomial, for which different texts with equal hashes are easy to give.
+    """
+    lanes = lanes_of(buf)
+    left = np.asarray(ends - starts, np.int64)
+    out = mix(left.astype(np.uint64) ^ np.uint64(_BASE))
+    at, row = np.asarray(starts, np.int64), None
+    while True:
+        live = np.flatnonzero(left > 0)
+        if not len(live):
+            return out
+        if len(live) < len(left):
+            row = live if row is None else row[live]
+            at, left = at[live], left[live]
+        lane = lanes[at]
+        short = left < 8
+        if short.any():
+            lane[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        if row is None:
+            out = mix((out ^ lane) + np.uint64(_BASE_INV))
+        else:
+            out[row] = mix((out[row] ^ lane) + np.uint64(_BASE_INV))
+        at, left = at + 8, left - 8
+
+
+def equal_slices(buf: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether buf[s : s + n] and buf[o : o + n] are the same bytes, for each s, o and n."""
+    lanes = lanes_of(buf)
+    same = np.ones(len(starts), bool)
+    row = np.arange(len(starts))
+    at, to, left = (np.asarray(x, np.int64) for x in (starts, others, sizes))
+    while len(row):
+        keep = (left > 0) & same[row]
+        row, at, to, left = row[keep], at[keep], to[keep], left[keep]
+        differ = lanes[at] ^ lanes[to]
+        short = left < 8
+        differ[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        same[row[differ != 0]] = False
+        at, to, left = at + 8, to + 8, left - 8
+    return same
 
 
 def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:

@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import LONGEST, fit_logistic, labelled_sample, predict_logistic
-from .near_duplicates import shingle_sets
+from .labelled import MAX_BYTES, fit_logistic, labelled_sample, predict_logistic, without_copies
 from .textops import LETTER_WORDS, LOWER, byte_texts, join_texts, mix, pieces, slice_hashes, words_of
 
 #: seeds of the earlier categories, for which there are no labels: a labelled text with a seed word counts as one
@@ -96,22 +95,6 @@ def apply_link(link: Link, sets: list[np.ndarray], earlier: np.ndarray) -> np.nd
     return predict_logistic(np.column_stack([presence(sets, link.words), earlier]), link.weights)
 
 
-def without_copies(texts: list[bytes], tries: int = 4) -> np.ndarray:
-    """Numbers of the texts that share none of a few smallest shingle hashes with an earlier one.
-
-    A label on one of many copies says nothing on the words that the copies have in common.
-    """
-    seen: list[set[int]] = [set() for _ in range(tries)]
-    keep = []
-    for i, s in enumerate(shingle_sets(texts, 5)):
-        least = [int(mix(s ^ np.uint64(k * 7919 + 1)).min()) for k in range(tries)] if len(s) else []
-        if not any(x in held for x, held in zip(least, seen)):
-            keep.append(i)
-        for x, held in zip(least, seen):
-            held.add(x)
-    return np.array(keep, np.int64)
-
-
 def train_chain(texts: list[bytes], toxic: np.ndarray, folds: int = 5) -> list[Link] | None:
     """The chain's classifiers in order; None without both labels.
 
@@ -151,15 +134,14 @@ def score_chain(chain: list[Link] | None, texts: list[bytes]) -> np.ndarray:
     return earlier
 
 
-def detect_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 6000, threshold: float = 0.5, longest: int = LONGEST) -> DataFrame:
+def detect_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 6000, threshold: float = 0.5, max_bytes: int = MAX_BYTES) -> DataFrame:
     """One row per document: id, p_insult, p_contempt, p_disgust, score (of toxic), toxic (score >= threshold).
 
-    The chain is fitted to at most max_rows labelled rows, none with a text of more than `longest` bytes; all texts
-    are scored, and a row's words are its whole text's.  Null and empty
-    texts get the probabilities of a text without words.  Without labels of both kinds all are 0.  Other columns
+    The chain is fitted to at most max_rows labelled rows of max_bytes together; all texts are scored, and a
+    row's words are its whole text's.  Null and empty texts get the probabilities of a text without words.  Without labels of both kinds all are 0.  Other columns
     are left out.
     """
-    chain = docs.sparkSession.sparkContext.broadcast(train_chain(*labelled_sample(docs, labels, "toxic", max_rows, id_col, text_col, longest=longest)))
+    chain = docs.sparkSession.sparkContext.broadcast(train_chain(*labelled_sample(docs, labels, "toxic", max_rows, id_col, text_col, max_bytes=max_bytes)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from pixelyard.llm.phrase_automata import phrase_dedup
+from pixelyard.llm.repeats import first_least
 from pixelyard.llm.suffix_array import maximal_repeats, suffix_array_dedup
 
 WORDS = ["the", "of", "and", "naïve", "x", "Straße", "re-do", "tion", "a b", "…"]
@@ -93,3 +95,34 @@ def test_maximal_repeats():
         assert (s in found) == maximal, s
         if maximal:
             assert found[s] == places
+
+
+def thue_morse(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_with_equal_polynomial_hashes(spark):
+    one, two = thue_morse(1024)
+    start = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"{start} {one}"), (2, f"{start} {two}"), (3, f"{start} {one}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in phrase_dedup(docs).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_places_of_least():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 6, 200).astype(np.uint64)
+    for width in (1, 2, 5, 8, 27):
+        assert first_least(x, width).tolist() == [i + int(np.argmin(x[i : i + width])) for i in range(len(x) - width + 1)]
+
+
+def test_one_anchor_in_many_contents(spark):
+    """A phrase in thousands of documents, with other words before and after it in each."""
+    rng = random.Random(8)
+    phrase = " ".join(f"p{i}" for i in range(9))
+    rows = [(i, " ".join([f"a{rng.randrange(3000)}", f"b{rng.randrange(40)}", phrase, f"c{rng.randrange(40)}", f"d{rng.randrange(3000)}", f"e{i % 7}"])) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = phrase_dedup(docs, chunk_bytes=20_000, bucket_bytes=10_000).select("doc_id", "n_units", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 13, as_words, b" ")
