@@ -7,11 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut_lineage
+from .shared import FEW, Scratch, Table
 from .textops import LOWER, SPACE_WORDS, byte_texts, gram_hashes, join_texts, mix, pieces, slice_hashes, words_of
 
 FULL = np.uint64(2**64 - 1)
@@ -71,31 +70,104 @@ def band_hashes(sketch: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node reachable) for the nodes of edges a-b.
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the edges a-b of one partition: each node but the smallest of its component, with that smallest one."""
+    above: dict[int, int] = {}
 
-    Rounds of smallest neighbours and pointer jumps, as joins and aggregates; each round's remaining
-    edges run between roots, so their number falls.
+    def top(x: int) -> int:
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = above[y] = above.setdefault(y, y)
+            x = above[x]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            x, y = top(x), top(y)
+            above[max(x, y)] = min(x, y)
+    rows = [(x, r) for x in above if (r := top(x)) != x]
+    for at in range(0, len(rows), 1 << 16):
+        a, b = zip(*rows[at : at + (1 << 16)])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def components(links: DataFrame, scratch: Scratch) -> Table:
+    """node and root (the smallest node reachable) for the nodes of links a-b, roots left out.
+
+    Each partition makes a forest of its own edges, in which a node has one root.  Where that leaves few edges,
+    one task does the same for all of them.  Beyond that, nodes with several roots pass these on to the smallest
+    one until each has one, and pointers are followed.
     """
-    nodes = None
-    edges = cut_lineage(edges.where("a <> b").distinct())
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("b"))
-        moving = True
-        while moving:  # as often as the logarithm of the longest way up
-            up = cut_lineage(up.alias("x").join(up.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b", (F.col("x.b") != F.col("y.b")).alias("moved")))
-            moving = not up.where("moved").isEmpty()
-            up = up.select("a", "b")
-        root = up.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        if nodes is None:
-            nodes = root
-        else:
-            nodes = cut_lineage(nodes.join(root.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
-        left = root.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        right = root.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        edges = cut_lineage(edges.join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct())
-    return nodes
+    edges = scratch.keep(links.select("a", "b").mapInArrow(forest, "a long, b long"))
+    while edges.rows > FEW:
+        up = scratch.keep(edges.df.groupBy("a").agg(F.min("b").alias("up"), F.max("b").alias("most")))
+        if up.df.where("up <> most").isEmpty():
+            scratch.drop(edges)
+            while True:
+                above = up.df.select(F.col("a").alias("up"), F.col("up").alias("top"))
+                jumped = scratch.keep(up.df.select("a", "up").join(above, "up", "left").select("a", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
+                scratch.drop(up)
+                up = jumped
+                if up.df.where("moved").isEmpty():
+                    return Table(up.df.select(F.col("a").alias("node"), F.col("up").alias("root")), up.rows, up.path)
+        others = edges.df.join(up.df, "a").where("b <> up").select(F.col("b").alias("a"), F.col("up").alias("b"))
+        both = others.unionByName(up.df.select("a", F.col("up").alias("b"))).distinct()
+        again = scratch.keep(both.repartition("b").mapInArrow(forest, "a long, b long"))
+        scratch.drop(edges, up)
+        edges = again
+    done = scratch.keep(edges.df.coalesce(1).mapInArrow(forest, "a long, b long").toDF("node", "root")) if edges.rows else Table(edges.df.toDF("node", "root"), 0, edges.path)
+    if edges.rows:
+        scratch.drop(edges)
+    return done
+
+
+def compare(pairs: DataFrame, full: DataFrame, scratch: Scratch, changes: bool = False) -> DataFrame:
+    """a, b, n and m (sizes of both sets) and shared (elements in common) of the pairs a-b, which are distinct.
+
+    changes: instead of shared, a row for each element e that only one of the two has (null if there is none).
+    The sets of all a of one b meet it in slices of bounded size, so b's set travels once a slice.
+    """
+    known = scratch.keep(pairs.select("a", "b"))
+    some = full.select(F.col("rep").alias("a"), F.col("elements").alias("ea"))
+    sized = full.select(F.col("rep").alias("a"), F.size("elements").alias("n")).join(known.hinted, "a")
+    slices = scratch.keep(sized.groupBy("b").agg((F.floor(F.sum("n") / SLICE) + 1).cast("int").alias("slices")))
+    left = known.df.join(slices.hinted, "b").withColumn("slice", F.pmod(F.xxhash64("a"), F.col("slices")).cast("int")).select("a", "b", "slice")
+    left = some.join(F.broadcast(left) if known.rows <= FEW else left, "a")
+    base = slices.df.select("b", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    base = full.select(F.col("rep").alias("b"), F.col("elements").alias("eb")).join(F.broadcast(base) if known.rows <= FEW else base, "b")
+
+    def meet(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[] for _ in range(5)]
+        lists = mine["ea"].combine_chunks()
+        size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        ends = np.cumsum(size)
+        for other in theirs["eb"]:
+            against = other.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            spot = np.minimum(np.searchsorted(against, flat), max(0, len(against) - 1))
+            hit = against[spot] == flat if len(against) else np.zeros(len(flat), bool)
+            shared = np.diff(np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], ends])])
+            if not changes:
+                found = zip(out, (mine["a"].to_numpy(), size, np.full(len(size), len(against)), shared, np.ones(len(size), np.int64)))
+                for column, x in found:
+                    column.append(x)
+                continue
+            for i, (a, e) in enumerate(zip((ends - size).tolist(), ends.tolist())):
+                gone = np.ones(len(against), bool)
+                gone[spot[a:e][hit[a:e]]] = False
+                made = np.concatenate([flat[a:e][~hit[a:e]], against[gone]]).view(np.int64)
+                none = len(made) == 0
+                k = max(1, len(made))
+                for column, x in zip(out, (np.full(k, mine["a"][i].as_py()), np.full(k, e - a), np.full(k, len(against)), np.zeros(1, np.int64) if none else made, np.full(k, not none))):
+                    column.append(x)
+        a, n, m, last, some_ = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
+        last = pa.array(last, pa.int64(), mask=~some_.astype(bool)) if changes else pa.array(last, pa.int64())
+        return pa.table([pa.array(a, pa.int64()), pa.array(np.full(len(a), key[0].as_py()), pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), last], ["a", "b", "n", "m", "e" if changes else "shared"])
+
+    return left.groupBy("b", "slice").cogroup(base.groupBy("b", "slice")).applyInArrow(meet, f"a long, b long, n long, m long, {'e' if changes else 'shared'} long")
+
+
+#: elements of the sets that meet another one in one slice
+SLICE = 1 << 18
 
 
 def near_duplicates(
@@ -106,6 +178,7 @@ def near_duplicates(
     threshold: int = 75,
     size: int = 128,
     band_rows: int = 4,
+    star_rounds: int = 4,
     rounds: int = 3,
     frequent_elements: int = 200_000,
 ) -> DataFrame:
@@ -119,14 +192,16 @@ def near_duplicates(
     Equal sets become one representative first.  Representatives that agree in a band of the sketch
     are candidates: with 32 bands of 4 rows a pair at 0.75 is missed with probability 5e-6, a group
     practically never.  Verification compares full sets.  It first tries each representative against
-    one well-connected centre of its buckets.  Where a bucket still has several labels, its members
+    one well-connected centre of its buckets, and then, a few times, those that none of a bucket's main
+    label took in against a centre among themselves.  Where a bucket still has several labels, its members
     seek each other in two exact ways: those of one centre by their rarest changes to it, others by the
     leading elements of their sets, and if the latter would make many pairs, a few members of each label
     against new centres first.  So no candidate link is left out, and neither a group whose members are
     connected nor one of many texts just below the threshold costs all of its pairs.
     """
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,12 +215,59 @@ def near_duplicates(
                 digest = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(count), digest, lists], ["id", "n_shingles", "digest", "bands"])
 
-    sketched = cut_lineage(source.mapInArrow(sketch, "id long, n_shingles long, digest binary, bands array<long>"))
-    heads = sketched.where("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("h"))
-    heads = heads.select("digest", F.col("h.id").alias("rep"), F.col("h.n_shingles").alias("n"), "h.bands")
-    placed = heads.select("rep", "n", F.explode(F.array_distinct("bands")).alias("key"))
+    sketched = scratch.keep(source.mapInArrow(sketch, "id long, n_shingles long, digest binary, bands array<long>"))
+    usable = sketched.df.where("digest is not null and id is not null")
+    heads = usable.groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("h"), F.count(F.lit(1)).alias("copies"))
+    heads = scratch.keep(heads.select("digest", F.col("h.id").alias("rep"), F.col("h.n_shingles").alias("n"), "copies", "h.bands"))
+    placed = heads.df.select("rep", "n", F.explode(F.array_distinct("bands")).alias("key"))
     crowd = placed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    members = cut_lineage(placed.join(crowd, "key"))
+    members = scratch.keep(placed.join(crowd, "key"))
+
+    # which representative a row has: itself unless its set is another row's too
+    several = scratch.keep(heads.df.where("copies > 1").select("digest", "rep", "copies"))
+    rows = sketched.df.select("id", "n_shingles", "digest")
+    if several.rows > FEW:  # sets of many copies are no key of an exchange; there are FEW of these at most
+        hot = several.df.where(F.col("copies") >= max(100, sketched.rows // FEW)).select("digest", F.col("rep").alias("often"))
+        cold = several.df.where(F.col("copies") < max(100, sketched.rows // FEW)).select("digest", "rep")
+        rows = rows.join(F.broadcast(hot), "digest", "left")
+        salted = F.when(F.col("often").isNull(), F.col("digest"))  # null joins with nothing, dealt by its row's number
+        rows = rows.withColumn("sought", F.coalesce(salted, F.concat(F.lit("-"), F.col("id").cast("string")).cast("binary")))
+        rows = rows.join(cold.withColumnRenamed("digest", "sought"), "sought", "left").select("id", "n_shingles", "digest", F.coalesce("often", "rep").alias("rep"))
+    else:
+        rows = rows.join(F.broadcast(several.df.select("digest", "rep")), "digest", "left").select("id", "n_shingles", "digest", "rep")
+    rows = rows.select("id", "n_shingles", F.when(F.col("digest").isNotNull() & F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"), F.col("digest").isNotNull().alias("some"))
+
+    # ids with several texts: their representatives are one node
+    ids = rows.where("id is not null and some").groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("a"))
+    spread = scratch.keep(ids.where("a <> b"))
+    doubled = rows.join(spread.hinted.select("id", "b"), "id").where("rep <> b").select(F.col("rep").alias("a"), "b") if spread.rows else None
+
+    nodes = members.df.select(F.col("rep").alias("node"))
+    nodes = nodes if doubled is None else nodes.unionByName(doubled.select(F.col("a").alias("node"))).unionByName(doubled.select(F.col("b").alias("node")))
+    labels = scratch.keep(nodes.distinct().withColumn("root", F.col("node")))
+
+    def merge(links: DataFrame) -> bool:
+        """Labels after links a-b between nodes; whether there were any between labels."""
+        nonlocal labels
+        ends = links.join(labels.hinted.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(labels.hinted.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        merged = components(ends.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch)
+        if merged.rows:
+            top = merged.hinted.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            new = scratch.keep(labels.df.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+            scratch.drop(labels)
+            labels = new
+        scratch.drop(merged)
+        return merged.rows > 0
+
+    if doubled is not None:
+        merge(doubled)
+
+    def finish() -> DataFrame:
+        found = rows.join(labels.hinted.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id")).alias("found"))
+        return found.select(F.col("id").alias(id_col), "n_shingles", F.col("found").alias("component_id"), F.coalesce(F.col("found") == F.col("id"), F.lit(True)).alias("kept"))
+
+    if not members.rows:
+        return finish()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,55 +278,74 @@ def near_duplicates(
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), lists], ["rep", "elements"])
 
-    labels = cut_lineage(members.select(F.col("rep").alias("node")).distinct().withColumn("root", F.col("node")))
-    full = source.join(labels.select(F.col("node").alias("id")), "id", "left_semi").mapInArrow(sets_of, "rep long, elements array<long>")
-    full = full.repartition(parallel, "rep").persist(StorageLevel.DISK_ONLY)
+    full_table = scratch.keep(source.join(labels.hinted.select(F.col("node").alias("id")), "id", "left_semi").mapInArrow(sets_of, "rep long, elements array<long>").where(F.size("elements") > 0))
+    full = full_table.df
+
+    def linked(n: str, m: str, shared) -> Column:
+        return 100 * F.col(shared) >= threshold * (F.col(n) + F.col(m) - F.col(shared))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs a-b that are linked."""
-        half = pairs.join(full.select(F.col("rep").alias("b"), F.col("elements").alias("eb")), "b")
-        both = half.join(full.select(F.col("rep").alias("a"), F.col("elements").alias("ea")), "a").withColumn("shared", F.size(F.array_intersect("ea", "eb")))
-        return both.where(100 * F.col("shared") >= threshold * (F.size("ea") + F.size("eb") - F.col("shared"))).select("a", "b")
-
-    def merge(links: DataFrame) -> DataFrame:
-        """The labels after links between nodes."""
-        ends = links.join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(labels.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-        merged = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        if merged is None:
-            return labels
-        return cut_lineage(labels.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        """Those of the distinct pairs a-b that are linked."""
+        return compare(pairs, full, scratch).where(linked("n", "m", "shared")).select("a", "b")
 
     # sets whose sizes alone rule a link out aren't compared
     fits = 100 * F.least("n", "m") >= threshold * F.greatest("n", "m")
 
-    # the centre of a bucket is the member whose buckets hold most: as a rule the text that others were copied from
-    degree = members.groupBy("rep").agg(F.sum("many").alias("degree"))
-    ranked = members.join(degree, "rep").withColumn("first", -F.col("rep"))
-    centre = ranked.groupBy("key").agg(F.max(F.struct("degree", "first", "n")).alias("c")).select("key", (-F.col("c.first")).alias("b"), F.col("c.n").alias("m"), F.col("c.degree").alias("reach"))
-    offers = ranked.join(centre, "key").where((F.col("rep") != F.col("b")) & fits)
-    offers = offers.groupBy("rep", "b").agg(F.struct(F.count(F.lit(1)).alias("agree"), F.max("reach").alias("reach"), F.col("b").alias("to")).alias("o"))
-    homes = cut_lineage(offers.groupBy("rep").agg(F.max("o").alias("o")).select(F.col("rep").alias("a"), F.col("o.to").alias("b")))
-    labels = merge(verify(homes))
-    above = homes.select(F.col("a").alias("b"), F.col("b").alias("top"))
+    def offers(crowds: DataFrame) -> DataFrame:
+        """a and b: each member of the crowds (key, rep, n, many) with the best-connected centre of its buckets.
+
+        The centre of a bucket is the member whose buckets hold most: as a rule the text that others were copied from.
+        """
+        ranked = crowds.join(crowds.groupBy("rep").agg(F.sum("many").alias("degree")), "rep").withColumn("first", -F.col("rep"))
+        centre = ranked.groupBy("key").agg(F.max(F.struct("degree", "first", "n")).alias("c")).select("key", (-F.col("c.first")).alias("b"), F.col("c.n").alias("m"), F.col("c.degree").alias("reach"))
+        met = ranked.join(centre, "key").where((F.col("rep") != F.col("b")) & fits)
+        met = met.groupBy("rep", "b").agg(F.count(F.lit(1)).alias("agree"), F.max("reach").alias("reach"))
+        best = F.max(F.struct("agree", "reach", F.col("b").alias("to"))).alias("o")
+        return met.groupBy("rep").agg(best).select(F.col("rep").alias("a"), F.col("o.to").alias("b"))
+
+    homes = scratch.keep(offers(members.df))
+    above = homes.hinted.select(F.col("a").alias("b"), F.col("b").alias("top"))
+    found = homes.df
     for _ in range(2):  # a centre's own centre, so that a group has one
-        homes = homes.join(above, "b", "left").select("a", F.coalesce("top", "b").alias("b"))
-    tops = homes.select(F.col("b").alias("a"), "b").distinct()
-    homes = cut_lineage(homes.unionByName(tops.join(homes.select("a"), "a", "left_anti")))
+        found = found.join(above, "b", "left").select("a", F.coalesce("top", "b").alias("b"))
+    tops = found.select(F.col("b").alias("a"), "b").distinct()
+    housed = scratch.keep(found.unionByName(tops.join(found.select("a"), "a", "left_anti")))
+    # against both its own centre and that one's centre
+    merge(verify(homes.df.unionByName(housed.df).where("a <> b").distinct()))
+    scratch.drop(homes)
+    homes = housed
 
-    # Two sets that are linked share one of the first n - ceil(threshold * n / 100) + 1 elements of each, in any
-    # order of all elements that puts none apart.  Frequent elements go last here, so a passage that many texts
-    # share makes no pairs of texts that have little else in common.  What counts as frequent comes from an
-    # eighth of the sets; that only bends the order.
     def mixed(known: DataFrame) -> DataFrame:
         """Members of the keys that have several labels."""
-        labelled = known.drop("label").join(labels.withColumnRenamed("node", "rep"), "rep").withColumnRenamed("root", "label")
+        labelled = known.drop("label").join(labels.hinted.withColumnRenamed("node", "rep"), "rep").withColumnRenamed("root", "label")
         several = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
         return labelled.join(several, "key", "left_semi")
 
-    unsettled = full.join(cut_lineage(mixed(members).select("rep").distinct()), "rep", "left_semi")
+    for _ in range(star_rounds):
+        known = scratch.keep(mixed(members.df))
+        if not known.rows:
+            break
+        weight = known.df.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+        main = weight.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m")).select("key", F.col("m.label").alias("main"))
+        minor = known.df.join(main, "key").where("label <> main").select("key", "rep", "n")
+        minor = scratch.keep(minor.join(minor.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "key"))
+        scratch.drop(known)
+        if not minor.rows or not merge(verify(offers(minor.df))):
+            break
+
+    # Two sets that are linked share one of the first n - ceil(threshold * n / 100) + 1 elements of each, in any
+    # order of all elements that puts none apart.  Frequent elements go last here, so a passage that many texts
+    # share makes no pairs of texts that have little else in common.  What counts as frequent comes from an
+    # eighth of the sets; that only bends the order.
+    open_ = scratch.keep(mixed(members.df).select("rep").distinct())
+    scratch.drop(members)
+    if not open_.rows:
+        scratch.drop(full_table)
+        return finish()
+    unsettled = scratch.keep(full.join(open_.hinted, "rep", "left_semi")).df
     counted = unsettled.where(F.pmod(F.xxhash64("rep"), F.lit(8)) == 0).select(F.explode("elements").alias("e")).groupBy("e").count().where("count > 1")
     frequent = counted.orderBy(F.desc("count"), "e").limit(frequent_elements).toPandas().sort_values("e")
-    shared = docs.sparkSession.sparkContext.broadcast((frequent["e"].to_numpy(np.int64), frequent["count"].to_numpy(np.int64)))
+    shared = spark.sparkContext.broadcast((frequent["e"].to_numpy(np.int64), frequent["count"].to_numpy(np.int64)))
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, heat = shared.value
@@ -228,56 +369,59 @@ def near_duplicates(
     # others need a number of changes in common that only rare ones are sought for.  Changes that no other text
     # made (own) are never in common; of the others (met) the rarest ones of each text suffice.
     t, s = 100 + threshold, 100 - threshold  # linked: t * difference <= s * sum of sizes
-    once = unsettled.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).where("c = 1").select("rep")
-    housed = unsettled.join(once, "rep").join(homes.select(F.col("a").alias("rep"), F.col("b").alias("home")), "rep")
-    base = full.groupBy("rep").agg(F.first("elements").alias("base"), F.count(F.lit(1)).alias("c")).where("c = 1").select(F.col("rep").alias("home"), "base")
-    changes = F.concat(F.array_except("elements", "base"), F.array_except("base", "elements"))
-    change = housed.join(base, "home").select("rep", "home", F.size("elements").alias("n"), F.size("base").alias("of"), F.explode_outer(changes).alias("e"))
-    change = cut_lineage(change.withColumn("makers", F.count("e").over(Window.partitionBy("home", "e"))))
-    counts = change.groupBy("rep", "home").agg(F.max("n").alias("n"), F.max("of").alias("of"), F.count_if(F.col("makers") == 1).alias("own"), F.count_if(F.col("makers") > 1).alias("met"))
+    once = scratch.keep(full.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rep"))
+    at_home = homes.df.join(open_.hinted.withColumnRenamed("rep", "a"), "a", "left_semi")
+    for side in ("a", "b"):  # of an id with several sets it isn't said which one changed
+        at_home = at_home.join(once.hinted.withColumnRenamed("rep", side), side, "left_anti")
+    change = scratch.keep(compare(at_home, full, scratch, changes=True).toDF("rep", "home", "n", "of", "e"))
+    makers = change.df.where("e is not null").groupBy("home", "e").agg(F.count(F.lit(1)).alias("makers")).where("makers > 1")
+    change2 = scratch.keep(change.df.join(makers, ["home", "e"], "left"))
+    scratch.drop(change)
+    change = change2.df
+    counts = change.groupBy("rep", "home").agg(F.max("n").alias("n"), F.max("of").alias("of"), F.count_if(F.col("e").isNotNull() & F.col("makers").isNull()).alias("own"), F.count("makers").alias("met"))
     d = F.col("own") + F.col("met")
     near_home = t * d <= s * (F.col("n") + F.col("of"))
     # changes in common with one of the other side at least: if that side is far from home, or (long) if it may be near
     common = lambda bound: F.floor(bound / (2 * t)) + 1
     short = F.col("met") - common(t * d + s * (F.col("of") - F.col("n"))) + 1
     long = F.col("met") - common(t * d - s * (F.col("of") + F.col("n"))) + 1
-    bounds = cut_lineage(counts.select("rep", "home", "n", near_home.alias("inside"), short.alias("short"), long.alias("long"), (t * d - s * F.col("n")).alias("up"), (t * (F.col("own") - F.col("met")) - s * F.col("n")).alias("down")))
-    labels = merge(bounds.where("inside").select(F.col("rep").alias("a"), F.col("home").alias("b")))
+    bounds = scratch.keep(counts.select("rep", "home", "n", near_home.alias("inside"), short.alias("short"), long.alias("long"), (t * d - s * F.col("n")).alias("up"), (t * (F.col("own") - F.col("met")) - s * F.col("n")).alias("down")))
+    merge(bounds.df.where("inside").select(F.col("rep").alias("a"), F.col("home").alias("b")))
     rarest = F.row_number().over(Window.partitionBy("rep", "home").orderBy("makers", "e"))
-    sought = change.where("makers > 1").withColumn("place", rarest).select("rep", "home", "e", "place").join(bounds, ["rep", "home"])
-    sought = sought.join(labels.withColumnRenamed("node", "rep"), "rep").withColumnRenamed("root", "label")
+    sought = change.where("makers > 1").withColumn("place", rarest).select("rep", "home", "e", "place").join(bounds.df, ["rep", "home"])
+    sought = sought.join(labels.hinted.withColumnRenamed("node", "rep"), "rep").withColumnRenamed("root", "label")
     one = sought.where("place <= short").select("home", "e", "rep", "n", "label", "up", "down", "inside")
     two = sought.where("not inside and place <= long").select("home", "e", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"), F.col("up").alias("up2"), F.col("down").alias("down2"), (F.col("place") <= F.col("short")).alias("early"))
     may = (F.col("label") != F.col("to")) & fits & (F.col("up") + F.col("down2") <= 0) & (F.col("up2") + F.col("down") <= 0)
     pairs = one.join(two, ["home", "e"]).where(may & (F.col("inside") | (F.col("early") & (F.col("rep") < F.col("b")))))
-    labels = merge(verify(pairs.select(F.col("rep").alias("a"), "b").distinct()))
+    merge(verify(pairs.select(F.col("rep").alias("a"), "b").distinct()))
+    scratch.drop(change2)
 
     # texts with different homes, or none
     house = F.coalesce("home", -1 - F.col("rep")).alias("home")
-    members = unsettled.mapInArrow(leading, "key long, rep long, n long").join(bounds.select("rep", "home"), "rep", "left").select("key", "rep", "n", house)
-    apart = members.groupBy("key").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("key")
-    members = cut_lineage(mixed(members.join(apart, "key", "left_semi")))
+    lead = unsettled.mapInArrow(leading, "key long, rep long, n long").join(bounds.hinted.select("rep", "home"), "rep", "left").select("key", "rep", "n", house)
+    apart = lead.groupBy("key").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo <> hi").select("key")
+    led = scratch.keep(mixed(lead.join(apart, "key", "left_semi")))
     for turn in range(rounds):
-        known = cut_lineage(mixed(members))
-        tally = known.groupBy("key", "home").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        rows, open_pairs = tally.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
-        if not rows:
+        known = scratch.keep(mixed(led.df))
+        if not known.rows:
             break
-        last = open_pairs <= 4 * rows + 10_000 or turn == rounds - 1
+        tally = known.df.groupBy("key", "home").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        members_, open_pairs = tally.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
+        last = open_pairs <= 4 * members_ + 10_000 or turn == rounds - 1
         away = F.col("home") != F.col("home2")
         if last:
-            other = known.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"), F.col("home").alias("home2"))
-            pairs = known.join(other, "key").where("label < to")
+            other = known.df.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"), F.col("home").alias("home2"))
+            pairs = known.df.join(other, "key").where("label < to")
         else:
             drawn = F.xxhash64("rep", F.lit(turn))
-            probes = known.withColumn("place", F.row_number().over(Window.partitionBy("key", "label").orderBy(drawn))).where("place <= 3")
-            new = known.groupBy("key").agg(F.min(F.struct(drawn.alias("drawn"), "rep", "n", "label", "home")).alias("c")).select("key", "c.*")
+            probes = known.df.withColumn("place", F.row_number().over(Window.partitionBy("key", "label").orderBy(drawn))).where("place <= 3")
+            new = known.df.groupBy("key").agg(F.min(F.struct(drawn.alias("drawn"), "rep", "n", "label", "home")).alias("c")).select("key", "c.*")
             new = new.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"), F.col("home").alias("home2"))
             pairs = probes.join(new, "key").where("label <> to")
-        labels = merge(verify(pairs.where(fits & away).select(F.col("rep").alias("a"), "b").distinct()))
+        merge(verify(pairs.where(fits & away).select(F.col("rep").alias("a"), "b").distinct()))
+        scratch.drop(known)
         if last:
             break
-    full.unpersist()
-    component = sketched.join(heads.select("digest", "rep"), "digest", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    found = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))
-    return component.select(F.col("id").alias(id_col), "n_shingles", found.alias("component_id"), F.coalesce(found == F.col("id"), F.lit(True)).alias("kept"))
+    scratch.drop(full_table, led)
+    return finish()
