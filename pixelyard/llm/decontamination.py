@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import nullable
-from .shared import cut_lineage
+from .shared import Scratch
 from .textops import LETTER_WORDS, LOWER, byte_texts, join_texts, mix, pieces, slice_hashes, words_of
 
 TABLE_BITS = 18
@@ -177,7 +177,7 @@ def find_contamination(
             held += size
             batch, size = [], 0
         if held >= pass_bytes:
-            frame = cut_lineage(searched(frame, blocks, list(structs)))
+            frame = Scratch(frame.sparkSession).keep(searched(frame, blocks, list(structs))).df
             for block in blocks:
                 block.destroy()
             blocks, held = [], 0

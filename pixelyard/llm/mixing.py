@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut_lineage
+from .shared import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: virtual finish times are counted in so many steps before the cut is sought exactly within one
@@ -56,12 +56,13 @@ def mix_sources(
     its one step.  Only the cut reaches the driver.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))))
     rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != id_col)).alias("rest")] if carry else []
-    rows = cut_lineage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *rest))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *rest)).df
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     # a row a source: written once, as every later step needs it
-    targets = cut_lineage(source_targets(sizes, weights, epochs))
+    targets = scratch.keep(source_targets(sizes, weights, epochs)).df
     sourced = rows.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "source")
     spot = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     sourced = sourced.withColumn("bucket", F.floor(spot * F.ceil(F.sqrt("source_rows"))).cast("long"))
@@ -69,7 +70,7 @@ def mix_sources(
     ahead = sums.select("source_rank", "bucket", (F.sum("s").over(Window.partitionBy("source_rank").orderBy("bucket")) - F.col("s")).alias("ahead"))
     inner = Window.partitionBy("source_rank", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = sourced.join(ahead, ["source_rank", "bucket"]).withColumn("upto", F.col("ahead") + F.sum("size").over(inner))
-    queued = cut_lineage(queued.drop("bucket", "ahead", "source_rows"))
+    queued = scratch.keep(queued.drop("bucket", "ahead", "source_rows")).df
 
     def finish(copy: int):
         return F.try_divide((F.col("source_size") * F.lit(copy) + F.col("upto")).cast("double"), F.col("target"))

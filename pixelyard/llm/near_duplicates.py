@@ -128,11 +128,10 @@ def compare(pairs: DataFrame, full: DataFrame, scratch: Scratch, changes: bool =
     """
     known = scratch.keep(pairs.select("a", "b"))
     some = full.select(F.col("rep").alias("a"), F.col("elements").alias("ea"))
-    sized = full.select(F.col("rep").alias("a"), F.size("elements").alias("n")).join(known.hinted, "a")
-    slices = scratch.keep(sized.groupBy("b").agg((F.floor(F.sum("n") / SLICE) + 1).cast("int").alias("slices")))
-    left = known.df.join(slices.hinted, "b").withColumn("slice", F.pmod(F.xxhash64("a"), F.col("slices")).cast("int")).select("a", "b", "slice")
+    slices = known.df.groupBy("b").agg((F.floor(F.count(F.lit(1)) / SLICE) + 1).cast("int").alias("slices"))
+    left = known.df.join(F.broadcast(slices) if known.rows <= FEW else slices, "b").withColumn("slice", F.pmod(F.xxhash64("a"), F.col("slices")).cast("int")).select("a", "b", "slice")
     left = some.join(F.broadcast(left) if known.rows <= FEW else left, "a")
-    base = slices.df.select("b", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    base = slices.select("b", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     base = full.select(F.col("rep").alias("b"), F.col("elements").alias("eb")).join(F.broadcast(base) if known.rows <= FEW else base, "b")
 
     def meet(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
@@ -166,8 +165,8 @@ def compare(pairs: DataFrame, full: DataFrame, scratch: Scratch, changes: bool =
     return left.groupBy("b", "slice").cogroup(base.groupBy("b", "slice")).applyInArrow(meet, f"a long, b long, n long, m long, {'e' if changes else 'shared'} long")
 
 
-#: elements of the sets that meet another one in one slice
-SLICE = 1 << 18
+#: sets, about, that meet another one in one slice
+SLICE = 256
 
 
 def near_duplicates(
@@ -246,8 +245,8 @@ def near_duplicates(
     nodes = nodes if doubled is None else nodes.unionByName(doubled.select(F.col("a").alias("node"))).unionByName(doubled.select(F.col("b").alias("node")))
     labels = scratch.keep(nodes.distinct().withColumn("root", F.col("node")))
 
-    def merge(links: DataFrame) -> bool:
-        """Labels after links a-b between nodes; whether there were any between labels."""
+    def merge(links: DataFrame) -> int:
+        """Labels after links a-b between nodes; how many labels went."""
         nonlocal labels
         ends = links.join(labels.hinted.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(labels.hinted.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         merged = components(ends.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch)
@@ -257,7 +256,7 @@ def near_duplicates(
             scratch.drop(labels)
             labels = new
         scratch.drop(merged)
-        return merged.rows > 0
+        return merged.rows
 
     if doubled is not None:
         merge(doubled)
@@ -296,9 +295,11 @@ def near_duplicates(
 
         The centre of a bucket is the member whose buckets hold most: as a rule the text that others were copied from.
         """
-        ranked = crowds.join(crowds.groupBy("rep").agg(F.sum("many").alias("degree")), "rep").withColumn("first", -F.col("rep"))
-        centre = ranked.groupBy("key").agg(F.max(F.struct("degree", "first", "n")).alias("c")).select("key", (-F.col("c.first")).alias("b"), F.col("c.n").alias("m"), F.col("c.degree").alias("reach"))
-        met = ranked.join(centre, "key").where((F.col("rep") != F.col("b")) & fits)
+        degree = scratch.keep(crowds.groupBy("rep").agg(F.sum("many").alias("degree")))
+        ranked = crowds.join(degree.hinted, "rep").withColumn("first", -F.col("rep"))
+        centre = ranked.groupBy("key").agg(F.max(F.struct("degree", "first", "n")).alias("c"))
+        centre = scratch.keep(centre.select("key", (-F.col("c.first")).alias("b"), F.col("c.n").alias("m"), F.col("c.degree").alias("reach")))
+        met = crowds.join(centre.hinted, "key").where((F.col("rep") != F.col("b")) & fits)
         met = met.groupBy("rep", "b").agg(F.count(F.lit(1)).alias("agree"), F.max("reach").alias("reach"))
         best = F.max(F.struct("agree", "reach", F.col("b").alias("to"))).alias("o")
         return met.groupBy("rep").agg(best).select(F.col("rep").alias("a"), F.col("o.to").alias("b"))
@@ -330,7 +331,8 @@ def near_duplicates(
         minor = known.df.join(main, "key").where("label <> main").select("key", "rep", "n")
         minor = scratch.keep(minor.join(minor.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "key"))
         scratch.drop(known)
-        if not minor.rows or not merge(verify(offers(minor.df))):
+        # where few take each other in, more rounds of this won't settle the rest
+        if not minor.rows or 8 * merge(verify(offers(minor.df))) < minor.df.select("rep").distinct().count():
             break
 
     # Two sets that are linked share one of the first n - ceil(threshold * n / 100) + 1 elements of each, in any

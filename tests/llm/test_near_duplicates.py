@@ -150,7 +150,7 @@ def test_copies_of_a_copy_in_a_crowd(spark, monkeypatch):
     assert sorted(map(tuple, near_duplicates(docs).collect())) == want
     monkeypatch.setattr(shared, "FEW", 20)
     monkeypatch.setattr(near, "FEW", 20)
-    monkeypatch.setattr(near, "SLICE", 500)
+    monkeypatch.setattr(near, "SLICE", 7)
     assert sorted(map(tuple, near_duplicates(docs).collect())) == want
 
 
