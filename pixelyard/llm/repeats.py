@@ -346,7 +346,8 @@ def mark_repeats(
         number, first, last, least = number[order], first[order], last[order], least[order]
         begin = np.searchsorted(number, np.arange(len(c.least) + 1))
         out: list[list] = [[], [], [], [], [], []]
-        texts_: list[bytes] = []
+        texts_: list[bytes | None] = []
+        void = table["text"].is_null().to_pylist()
         for i, p in enumerate(found):
             seg, content = c.which[i], c.content[i]
             n = begin[content + 1] - begin[content]
@@ -373,12 +374,12 @@ def mark_repeats(
                         left = e
                     kept = (b" " if spec.words else b"").join(parts)
                 if carry:
-                    texts_.append(kept if len(spans) else data[p.first + d])
+                    texts_.append(kept if len(spans) else None if void[p.first + d] else data[p.first + d])
                 for column, x in zip(out, (table["real"][p.first + d].as_py(), b - a, int((spans[:, 1] - spans[:, 0]).sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans.tolist())):
                     column.append(x)
         done = rows(result, out)
         if carry:  # rows are in the sorted table's order
-            done = done.append_column("rest", nullable(table["rest"])).append_column("kept_text", pa.array([t.decode("utf-8", "ignore") for t in texts_], pa.string()))
+            done = done.append_column("rest", nullable(table["rest"])).append_column("kept_text", pa.array([None if t is None else t.decode("utf-8", "ignore") for t in texts_], pa.string()))
         return done
 
     flags = keyed.applyInArrow(send_anchors, _ddl(ANCHORS)).groupBy("bucket").applyInArrow(answer_anchors, _ddl(FLAGS))

@@ -1,5 +1,6 @@
 """The pipeline's stages, each against brute force on its own input."""
 
+import hashlib
 import random
 import re
 
@@ -8,6 +9,7 @@ import pytest
 import corpus_pipeline
 from pixelyard.llm.queries import QUERIES
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -50,9 +52,11 @@ def test_stages(spark, tables):
     kept = {}
     for name in ("quality", "near_dedup", "passages", "decontaminate"):
         before = [r for r in docs.collect() if r["doc_id"] is not None]
+        nameless = docs.where("doc_id is null").count()
         docs = stages[name](spark, docs, tables)
-        assert docs.columns == list(corpus_pipeline.COLUMNS)
-        kept[name] = (before, {r["doc_id"]: r for r in docs.collect()})
+        assert docs.columns == list(COLUMNS)
+        kept[name] = (before, {r["doc_id"]: r for r in docs.collect() if r["doc_id"] is not None})
+        assert docs.where("doc_id is null").count() == nameless == 1
         docs = spark.createDataFrame(docs.collect(), SCHEMA)
     before, after = kept["quality"]
     plain = {r["doc_id"] for r in before if r["text"]}
@@ -82,7 +86,7 @@ def test_stages(spark, tables):
             left = " ".join(x for x, g in zip(w, gone) if not g)
             assert after[r["doc_id"]]["text"] == left and after[r["doc_id"]]["n_chars"] == len(left)
         else:
-            assert after[r["doc_id"]]["text"] == (r["text"] or "")
+            assert after[r["doc_id"]]["text"] == r["text"]
     assert cut
 
     before, after = kept["decontaminate"]
@@ -95,8 +99,59 @@ def test_stages(spark, tables):
             dirty.add(r["doc_id"])
     assert dirty and set(after) == {r["doc_id"] for r in before} - dirty
 
-    mixed = stages["mix"](spark, docs, tables).collect()
-    assert {r["doc_id"] for r in mixed} == set(after) and all(0 <= r["taken"] <= 3 * r["size"] for r in mixed)
+    mixed = [r for r in stages["mix"](spark, docs, tables).collect()]
+    assert {r["doc_id"] for r in mixed} == {*after, None}
+    sizes = {}
+    for r in mixed:
+        assert r["size"] == len(words(r["text"]))
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+    target = shared_out(sizes)
+    queue = []
+    for r in mixed:
+        assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - target[r["source"]]) < 1e-6
+    for source in sizes:
+        key = lambda r: hashlib.md5(f"1:{r['doc_id']}".encode() if r["doc_id"] is not None else f"1:{hashlib.md5((r['text'] or '').encode()).hexdigest()}".encode()).hexdigest()
+        upto = 0
+        for r in sorted((r for r in mixed if r["source"] == source), key=key):
+            upto += r["size"]
+            queue += [((copy * sizes[source] + upto) / target[source], r) for copy in range(3) if r["size"]]
+    queue.sort(key=lambda x: x[0])
+    left, taken = sum(sizes.values()), {}
+    for _, r in queue:
+        if r["size"] > left:
+            break
+        left -= r["size"]
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["size"]
+    assert {r["doc_id"]: r["taken"] for r in mixed} == {r["doc_id"]: taken.get(r["doc_id"], 0) for r in mixed}
+
+
+def shared_out(sizes):
+    """Targets by weight, capped at three times a source's size."""
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, open_, left = {}, set(names), float(sum(sizes.values()))
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 3 * sizes[s]]
+        if not over:
+            return target | share
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            left -= target[s]
+            open_.discard(s)
+
+
+def test_other_columns_go_through(spark, tables):
+    """Columns with names that operators use themselves, and of other types."""
+    schema = f"{SCHEMA}, score double, size long, rest string, id int, tags map<string,int>"
+    rng = random.Random(14)
+    rows = [(i, " ".join(f"v{rng.randrange(5000)}" for _ in range(50)), "en", f"s{i % 2}", i, i / 2, i + 1, f"r{i}", i, {"k": i}) for i in range(6)]
+    given = docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        docs = stage(spark, docs, tables)
+        same = [c for c in given.columns if name != "mix" or c != "size"]
+        assert sorted(map(repr, docs.select(*same).collect())) == sorted(map(repr, given.select(*same).collect()))
+        assert name == "mix" or docs.columns == given.columns
 
 
 def test_run(spark, tables):
@@ -115,7 +170,7 @@ def test_different_texts_of_one_id(spark, tables):
     docs = stages["near_dedup"](spark, docs, tables)
     assert by_all(docs.collect()) == by_all(rows[1:])
     mixed = stages["mix"](spark, docs, tables)
-    assert by_all(mixed.select(*corpus_pipeline.COLUMNS).collect()) == by_all(rows[1:])
+    assert by_all(mixed.select(*COLUMNS).collect()) == by_all(rows[1:])
     assert all(r["size"] == len(words(r["text"])) and r["source_size"] == 150 for r in mixed.collect())
     for name in ("passages", "decontaminate"):
         docs = stages[name](spark, docs, tables)
