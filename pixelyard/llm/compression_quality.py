@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import MAX_BYTES, fit_logistic, labelled_sample, predict_logistic, without_copies
-from .textops import byte_texts
+from .textops import text_pieces
 
 #: bytes compressed at a time, so that a dictionary counts for every part of a text alike
 BLOCK = 256
@@ -121,8 +121,10 @@ def score_quality(docs: DataFrame, model: CompressionModel | None, id_col: str =
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = byte_texts(batch.column(at))
-            scores = np.full(len(texts), 0.5) if shared.value is None else shared.value.score(texts)
+            scores = np.full(batch.num_rows, 0.5)
+            if shared.value is not None:
+                for a, b, texts in text_pieces(batch.column(at)):
+                    scores[a:b] = shared.value.score(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
     scored = plain.mapInArrow(score, f"{schema}, score double")

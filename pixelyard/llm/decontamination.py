@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .repeats import nullable
 from .shared import Scratch
-from .textops import LETTER_WORDS, LOWER, byte_texts, join_texts, mix, pieces, slice_hashes, words_of
+from .textops import LETTER_WORDS, LOWER, join_texts, mix, slice_hashes, text_pieces, words_of
 
 TABLE_BITS = 18
 
@@ -139,10 +139,9 @@ def find_contamination(
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = byte_texts(batch.column("text"))
-                for first, last in pieces(texts, 4 << 20):
+                for first, last, texts in text_pieces(batch.column("text"), 4 << 20):
                     part = batch.slice(first, last - first)
-                    raw, at, to, upto = spaced_words([t.translate(LOWER) for t in texts[first:last]], LETTER_WORDS)
+                    raw, at, to, upto = spaced_words([t.translate(LOWER) for t in texts], LETTER_WORDS)
                     words = slice_hashes(np.frombuffer(raw, np.uint8), at, to)
                     low = np.concatenate([[0], upto[:-1]])
                     change = np.zeros(len(words) + 1, np.int32)

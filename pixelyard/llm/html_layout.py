@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -13,7 +14,11 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object svg math canvas audio video datalist select textarea input dialog area base link meta param source track col colgroup".split())
+UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object canvas audio video datalist area base link meta param source track col colgroup desc defs metadata symbol annotation annotation-xml".split())
+#: inputs whose value is on the page
+VALUED = frozenset("text search url tel email number date time button submit reset".split())
+#: longer cells don't widen their column, or one would pad every row of its table
+WIDEST = 120
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary ul table caption".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu hr".split())
 #: start tags that close an open p
@@ -34,11 +39,14 @@ IMPLIED: dict[str, tuple[frozenset[str], frozenset[str]]] = {
 }
 #: an end tag closes nothing beyond these
 WALLS = frozenset({"table", "td", "th", "caption", "template"})
+#: a start tag closes no p beyond these
+P_WALLS = WALLS | {"button", "li", "div"}
 FREE_ENDS = frozenset({"table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "template", "body", "html"})
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+HIDES = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -53,9 +61,19 @@ def build(page: str) -> Element:
     """The page's tree; any input has one."""
     root = Element("html")
     stack = [root]
+    places: dict[str, list[int]] = {}  # of the open elements of a tag, so that no tag is sought through the stack
+
+    def push(element: Element) -> None:
+        stack[-1].children.append(element)
+        places.setdefault(element.tag, []).append(len(stack))
+        stack.append(element)
 
     def close(number: int) -> None:
-        del stack[number:]
+        while len(stack) > number:
+            places[stack.pop().tag].pop()
+
+    def last(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     at = 0
     while at < len(page):
@@ -72,53 +90,40 @@ def build(page: str) -> Element:
         if not tag:
             continue
         if found[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if stack[i].tag in WALLS and tag not in FREE_ENDS:
-                    break
-            else:
-                if tag == "p":
-                    stack[-1].children.append(Element("p"))
-                elif tag == "br":
-                    stack[-1].children.append(Element("br"))
+            i, wall = last((tag,)), 0 if tag in FREE_ENDS else last(WALLS)
+            if i > wall:
+                close(i)
+            elif not wall and tag in ("p", "br"):
+                stack[-1].children.append(Element(tag))
             continue
         if tag == "html" and len(stack) == 1 and not any(isinstance(c, Element) for c in root.children):
             root.attributes = attributes(found[4])
             continue
         if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close(i)
-                    break
-                if stack[i].tag in WALLS or stack[i].tag in ("button", "li", "div"):
-                    break
+            i = last(("p",))
+            if i > last(P_WALLS):
+                close(i)
         if tag not in ("html", "head", "body") and tag in BLOCKS and stack[-1].tag == "head":
             close(len(stack) - 1)
         if tag in IMPLIED:
             closes, stops = IMPLIED[tag]
-            lowest = None
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in stops:
-                    break
-                if stack[i].tag in closes:
-                    lowest = i
-            if lowest is not None:
-                close(lowest)
+            stop = last(stops)
+            above = [held[i] for t in closes if (held := places.get(t)) and (i := bisect.bisect_right(held, stop)) < len(held)]
+            if above:
+                close(min(above))
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            stack[-1].children.append(row := Element("tr"))
-            stack.append(row)
+            push(Element("tr"))
         element = Element(tag, attributes(found[4]))
-        stack[-1].children.append(element)
         if tag in VOID:
+            stack[-1].children.append(element)
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(page, at)
-            element.children.append(page[at : end.start()])
+            element.children.append(html.unescape(page[at : end.start()]) if tag == "textarea" else page[at : end.start()])
+            stack[-1].children.append(element)
             at = end.end()
             continue
-        stack.append(element)
+        push(element)
     return root
 
 
@@ -128,7 +133,22 @@ def attributes(text: str) -> dict[str, str]:
 
 def unseen(element: Element) -> bool:
     a = element.attributes
-    return element.tag in UNSEEN or bool(a) and ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(HIDES.search(a.get("style", ""))))
+    return element.tag in UNSEEN or element.tag == "dialog" and "open" not in a or bool(a) and ("hidden" in a or bool(HIDES.search(a.get("style", ""))))
+
+
+def shown(select: Element) -> list[Element]:
+    """The options that a select shows: all of a list, of a closed one the chosen or first one."""
+    options, work = [], list(select.children)
+    while work:
+        x = work.pop(0)
+        if isinstance(x, Element):
+            if x.tag == "option":
+                options.append(x)
+            else:
+                work = x.children + work
+    if "multiple" in select.attributes or not options:
+        return options
+    return [next((o for o in options if "selected" in o.attributes), options[0])]
 
 
 class Writer:
@@ -139,14 +159,12 @@ class Writer:
         self.parts: list[str] = []
         self.gap = 0  # line ends due before the next text
         self.space = False
-        self.indent: list[str] = []
-        self.marker = ""
+        self.indent: list[list[str]] = []  # of each level, what the next line and what later ones start with
 
     def prefix(self) -> str:
-        lead = "".join(self.indent)
-        if self.marker:
-            lead = lead[: len(lead) - len(self.marker)] + self.marker
-            self.marker = ""
+        lead = "".join(level[0] for level in self.indent)
+        for level in self.indent:
+            level[0] = level[1]
         return lead
 
     def open_line(self) -> None:
@@ -204,13 +222,13 @@ def aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
             while len(width) < column + span:
                 width.append(0)
             if span == 1:
-                width[column] = max(width[column], max(map(len, text.split("\n"))))
+                width[column] = max([width[column], *(n for n in map(len, text.split("\n")) if n <= WIDEST)])
             column += span
     for row in rows:  # a spanning cell widens its last column
         column = 0
         for text, span in row:
             if span > 1:
-                lack = max(map(len, text.split("\n"))) - sum(width[column : column + span]) - 3 * (span - 1)
+                lack = max((n for n in map(len, text.split("\n")) if n <= WIDEST), default=0) - sum(width[column : column + span]) - 3 * (span - 1)
                 width[column + span - 1] += max(0, lack)
             column += span
     out = []
@@ -230,17 +248,26 @@ def render(root: Element) -> str:
     tables: list[list[list[tuple[str, int]]]] = []
     lists: list[list] = []  # kind and next number
     preformatted = 0
+    hidden = [False]  # of the element and those around it: visibility is inherited, and may be taken back
     work: list[tuple[bool, Element | str]] = [(True, root)]
     while work:
         enter, node = work.pop()
         out = writers[-1]
         if isinstance(node, str):
+            if hidden[-1]:
+                continue
             out.verbatim(node) if preformatted else out.text(node)
             continue
         tag = node.tag
         if enter:
             if unseen(node):
                 continue
+            visibility = VISIBILITY.search(node.attributes.get("style", "")) if node.attributes else None
+            hides = hidden[-1] if visibility is None else visibility[1].lower() != "visible"
+            if tag == "input":
+                if not hides and node.attributes.get("type", "text").lower() in VALUED:
+                    out.text(f" {node.attributes.get('value', '')} ")
+                continue
             if tag == "br":
                 out.line_break()
                 continue
@@ -253,14 +280,14 @@ def render(root: Element) -> str:
                 kind = lists[-1] if lists else ["ul", 1]
                 marker = f"{kind[1]}. " if kind[0] == "ol" else "- "
                 kind[1] += 1
-                out.indent.append(" " * len(marker))
-                out.marker = marker
+                out.indent.append([marker, " " * len(marker)])
             elif tag in ("blockquote", "dd"):
-                out.indent.append("    " if tag == "dd" else "> ")
+                out.indent.append(["    " if tag == "dd" else "> "] * 2)
             elif tag == "pre":
                 preformatted += 1
             elif tag == "hr":
-                out.text("---")
+                if not hides:
+                    out.text("---")
                 out.end(2)
                 continue
             elif tag == "table":
@@ -270,18 +297,24 @@ def render(root: Element) -> str:
             elif tag in ("td", "th") and tables and tables[-1]:
                 writers.append(Writer())
                 lists.append(["ul", 1])
+            hidden.append(hides)
             work.append((False, node))
-            for i, child in enumerate(reversed(node.children)):
-                if tag == "pre" and isinstance(child, str) and i == len(node.children) - 1 and child[:1] == "\n":
+            children = shown(node) if tag == "select" else node.children
+            if tag in ("option", "select", "textarea", "text"):
+                out.space = True
+            for i, child in enumerate(reversed(children)):
+                if tag == "pre" and isinstance(child, str) and i == len(children) - 1 and child[:1] == "\n":
                     child = child[1:]
                 work.append((True, child))
             continue
+        hidden.pop()
+        if tag in ("option", "select", "textarea", "text"):
+            out.space = True
         if tag in ("ul", "ol", "menu"):
             lists.pop()
         elif tag in ("li", "blockquote", "dd"):
             out.end(1)
             out.indent.pop()
-            out.marker = ""
         elif tag == "pre":
             preformatted -= 1
         elif tag in ("td", "th") and tables and tables[-1] and len(writers) > 1:
@@ -308,14 +341,17 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """One row per input row: id, text.
 
     text is all that a reader sees: paragraphs parted by a blank line, other blocks by a line end, list
-    items with markers, cells of a table row side by side and aligned, preformatted text as it is.  Hidden
-    elements, scripts, styles, form fields, the head and comments are left out.  Markup that is broken or
+    items with markers, cells of a table row side by side and aligned (one of more than WIDEST characters
+    widens no column), preformatted text as it is.  Values of form fields, the chosen option of a select, text
+    in svg and math, open dialogs, details and what is hidden from screen readers alone are seen.  Elements with
+    display: none or hidden, those with visibility: hidden but for the parts that take it back, scripts, styles,
+    media, the head and comments are left out.  Markup that is broken or
     cut off still gives a tree; null and empty pages give an empty text.  Other columns are left out.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [page_text(x) for x in batch.column("html").to_pylist()]
+            texts = [page_text(x.as_py()) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
     source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import FEW, Scratch, Table
-from .textops import LOWER, SPACE_WORDS, byte_texts, gram_hashes, join_texts, mix, pieces, slice_hashes, words_of
+from .textops import LOWER, SPACE_WORDS, gram_hashes, join_texts, mix, pieces, slice_hashes, text_pieces, words_of
 
 FULL = np.uint64(2**64 - 1)
 
@@ -204,9 +204,8 @@ def near_duplicates(
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = byte_texts(batch.column("text"))
-            for a, b in pieces(texts, 1 << 20):
-                sets = shingle_sets(texts[a:b], shingle)
+            for a, b, texts in text_pieces(batch.column("text")):
+                sets = shingle_sets(texts, shingle)
                 bands = band_hashes(fast_sketch(sets, size), band_rows).view(np.int64)
                 count = np.fromiter(map(len, sets), np.int64, len(sets))
                 some = count > 0
@@ -270,9 +269,8 @@ def near_duplicates(
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = byte_texts(batch.column("text"))
-            for a, b in pieces(texts, 1 << 20):
-                sets = shingle_sets(texts[a:b], shingle)
+            for a, b, texts in text_pieces(batch.column("text")):
+                sets = shingle_sets(texts, shingle)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), lists], ["rep", "elements"])

@@ -72,7 +72,7 @@ def resolve_phrases(window: int):
     return resolve
 
 
-def phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 5, bucket_bytes: int = 4 << 20, **options: int) -> DataFrame:
+def phrase_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 5, bucket_bytes: int = 2 << 20, **options: int) -> DataFrame:
     """Removes each word in a passage of `window` words that also starts in a document with a smaller id.
 
     Columns and cases: see repeats.mark_repeats; units are words of spaces.

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import SPACE_WORDS, byte_texts, equal_slices, gram_hashes, join_texts, mix, pieces, prefix_sums, slice_hashes, words_of
+from .textops import SPACE_WORDS, byte_texts, equal_slices, give_back, gram_hashes, join_texts, mix, pieces, prefix_sums, slice_hashes, words_of
 
 NO_ID = np.iinfo(np.int64).max
 MASK48 = np.uint64((1 << 48) - 1)
@@ -234,6 +234,22 @@ def contents_of(found: list[Piece], ids: np.ndarray, repeated: np.ndarray, bucke
     return Contents(k[first], least, piece[one], segment[one], which, np.split(number, cuts) if found else [])
 
 
+def thrifty(made: Callable) -> Callable:
+    """A group's function after which free memory goes back to the system."""
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        out = made(key, table)
+        give_back()
+        return out
+
+    def two(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+        out = made(key, table, replies)
+        give_back()
+        return out
+
+    return one if made.__code__.co_argcount == 2 else two
+
+
 def mark_repeats(
     docs: DataFrame,
     spec: Windows,
@@ -262,6 +278,7 @@ def mark_repeats(
     texts = source.select("id", "text", *(["rest"] if carry else []), F.pmod(F.xxhash64(F.coalesce("id", F.crc32(F.coalesce("text", F.lit(""))))), F.lit(chunks)).alias("chunk"))
     keyed = texts.groupBy("chunk")
 
+    @thrifty
     def send_anchors(key: tuple, table: pa.Table) -> pa.Table:
         ids, data, _ = load(_filled(table))
         bucket, distinct, many = distinct_anchors(list(cut(data, spec)), ids, buckets)
@@ -279,6 +296,7 @@ def mark_repeats(
         bits = [np.packbits(x).tobytes() for x in np.split(flag[at], np.cumsum([len(p) for p in parts])[:-1])]
         return rows(FLAGS, [table["chunk"].to_pylist(), [key[0].as_py()] * len(parts), [0] * len(parts), bits])
 
+    @thrifty
     def send_segments(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         ids, data, _ = load(_filled(table))
         found = list(cut(data, spec))
@@ -297,6 +315,7 @@ def mark_repeats(
                 column.append(x)
         return rows(SEGMENTS, out)
 
+    @thrifty
     def answer_segments(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
         number: dict[bytes, int] = {}
@@ -329,6 +348,7 @@ def mark_repeats(
     result = pa.schema([("id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])
     given = f", rest {source.schema['rest'].dataType.simpleString()}, kept_text string" if carry else ""
 
+    @thrifty
     def finish(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         ids, data, table = load(_filled(table))
         found = list(cut(data, spec))

@@ -7,11 +7,14 @@ windowing run as a few NumPy passes over many documents at once.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _POW = np.ones(1, np.uint64)
@@ -149,6 +152,31 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def text_pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Row ranges of a string column with about `limit` bytes together, and their texts; a longer text is alone.
+
+    One range's texts are there at a time, and what one is done with goes back to the system: a batch may
+    hold many megabytes, and a worker lives longer than its task.
+    """
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, n in enumerate(size.tolist()):
+        if i > start and total + n > limit:
+            yield start, i, byte_texts(column.slice(start, i - start))
+            start, total = i, 0
+        total += n + 1
+    if start < len(column):
+        yield start, len(column), byte_texts(column.slice(start))
+    give_back()
+
+
+def give_back() -> None:
+    """Hands free memory back to the system, where there is a way to."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def pieces(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts have about `limit` bytes together; a longer text is alone."""
     start = total = 0

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import MAX_BYTES, fit_logistic, labelled_sample, predict_logistic, without_copies
-from .textops import LETTER_WORDS, LOWER, byte_texts, join_texts, mix, pieces, slice_hashes, words_of
+from .textops import LETTER_WORDS, LOWER, join_texts, mix, pieces, slice_hashes, text_pieces, words_of
 
 #: seeds of the earlier categories, for which there are no labels: a labelled text with a seed word counts as one
 SEEDS: dict[str, tuple[str, ...]] = {
@@ -145,7 +145,7 @@ def detect_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = score_chain(chain.value, byte_texts(batch.column("text")))
+            p = np.concatenate([np.zeros((0, len(CATEGORIES))), *(score_chain(chain.value, texts) for _, _, texts in text_pieces(batch.column("text")))])
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.float64()) for c in p.T)], ["id", *(f"p_{c}" for c in SEEDS), "score"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
