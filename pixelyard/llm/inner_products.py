@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,7 +114,8 @@ def top_inner_products(
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller id, fewer rows than k are all
     returned.  Rows whose vector is null, empty or holds null or non-finite numbers, and rows without an
     id, take no part.  Rows with one id are rows of their own: each is a candidate for the other.  Scores
-    are 64-bit integers.  Other columns are left out.
+    are 64-bit integers: a component beyond the bound up to which no score of vectors this wide can leave
+    them, the root of (2**63 - 1) / width, counts as that bound.  Other columns are left out.
 
     Queries, in blocks of query_rows, meet candidates, in shards of shard_rows dealt by hash, so that each
     shard has long vectors of its own to start with.  A task holds one block and one shard; the partial
@@ -128,6 +130,8 @@ def top_inner_products(
     total, width, asked = told[0], told[1] or 1, told[2]
     shards, blocks = max(1, -(-total // shard_rows)), max(1, -(-asked // query_rows))
     lead = min(lead, width)
+    most = math.isqrt((2**63 - 1) // width)
+    clean = clean.withColumn("v", F.transform("v", lambda e: F.greatest(F.lit(-most), F.least(F.lit(most), e))))
     rotation = rotation_of(clean, width)
     spread = F.xxhash64("id", "nth")
     queries = clean.where(is_query(F.col("id"))).withColumn("block", F.pmod(spread, F.lit(blocks)))

@@ -38,6 +38,17 @@ def clean_40(docs):
     return list(max(vs, key=vs.count))
 
 
+def test_top_of_huge_components(spark):
+    """Scores never wrap: components beyond the bound count as the bound."""
+    rows = [(0, [1e30, 1.0]), (1, [1e30, -1e30]), (2, [-1e300, 2.0]), (3, [0.5, 0.5])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    most = math.isqrt((2**63 - 1) // 2)
+    whole = {i: [max(-most, min(most, math.floor(64 * x))) for x in v] for i, v in rows}
+    want = sorted((0, i, sum(a * b for a, b in zip(whole[0], whole[i]))) for i in (1, 2, 3))
+    got = [tuple(r) for r in top_inner_products(docs, lambda i: i % 20 == 0).select("query_id", "vec_id", "score").collect()]
+    assert sorted(got) == want and all(abs(x) < 2**63 for *_, x in want)
+
+
 def test_top_of_few_and_none(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert top_inner_products(none, lambda i: i % 20 == 0).count() == 0
