@@ -93,11 +93,15 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, scratch: Scratch) -> Table:
     """node and root (the smallest node reachable) for the nodes of links a-b, roots left out.
 
-    Each partition makes a forest of its own edges, in which a node has one root.  Where that leaves few edges,
-    one task does the same for all of them.  Beyond that, nodes with several roots pass these on to the smallest
-    one until each has one, and pointers are followed.
+    Few links are one task's work.  Of more, each partition makes a forest of its own ones, in which a node has
+    one root; nodes with several roots pass these on to the smallest one until each has one, and pointers are
+    followed.
     """
-    edges = scratch.keep(links.select("a", "b").mapInArrow(forest, "a long, b long"))
+    edges = scratch.keep(links.select("a", "b"))
+    if edges.rows > FEW:
+        given = edges
+        edges = scratch.keep(given.df.mapInArrow(forest, "a long, b long"))
+        scratch.drop(given)
     while edges.rows > FEW:
         up = scratch.keep(edges.df.groupBy("a").agg(F.min("b").alias("up"), F.max("b").alias("most")))
         if up.df.where("up <> most").isEmpty():
