@@ -1,6 +1,6 @@
 """Rules over keypoints and colours as column expressions.
 
-Keypoints are arrays of structs x, y, score, in the orders of pixelyard.schema (body) and of the usual 21
+Keypoints are arrays of structs x, y, score, in the orders of the usual 17 (body) and 21
 hand points (wrist, then four for each finger from the thumb).
 """
 

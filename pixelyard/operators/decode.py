@@ -84,6 +84,12 @@ def decode_queries(rows: DataFrame, width: Column, height: Column, threshold: fl
     return top.withColumn("box", box).drop("scores", "v").select(*[c for c in top.columns if c not in ("scores", "v")], "box.*")
 
 
+def top_queries(queries: DataFrame, k: int = 1, threshold: float = 0.1, image: str = "image_id") -> DataFrame:
+    """The k surest queries (score, query) of each image and class that reach the threshold, of equals the first."""
+    place = F.row_number().over(Window.partitionBy(image, "class_id").orderBy(F.desc("score"), "query"))
+    return queries.where(passes(F.col("score"), "concepts", threshold)).withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+
+
 def decode_rotated(rows: DataFrame, classes: int, threshold: float | None = None) -> DataFrame:
     """From v = cx, cy, w, h, class scores, angle."""
     scored = best_class(rows, F.slice("v", 5, classes), first_positive=False).where(passes(F.col("score"), "rotated", threshold))

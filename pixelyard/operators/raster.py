@@ -195,6 +195,44 @@ def rasterize(polygon: list[tuple[float, float]], width: int, height: int) -> np
     return inside
 
 
+def regions(plane: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """y and x of the pixels of each 8-connected component of a boolean plane, in the order of their first pixels.
+
+    Runs of a row are joined with the runs they touch in the row above, so Python sees runs, not pixels.
+    """
+    edge = np.diff(np.pad(plane, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    rows, start = np.nonzero(edge == 1)
+    stop = np.nonzero(edge == -1)[1]
+    above = list(range(len(rows)))
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
+
+    begin = np.searchsorted(rows, np.arange(plane.shape[0] + 1)).tolist()
+    for y in range(1, plane.shape[0]):
+        i, j = begin[y - 1], begin[y]
+        while i < begin[y] and j < begin[y + 1]:
+            if start[i] <= stop[j] and start[j] <= stop[i]:
+                a, b = top(i), top(j)
+                above[max(a, b)] = min(a, b)
+            if stop[i] < stop[j]:
+                i += 1
+            else:
+                j += 1
+    found: dict[int, list[int]] = {}
+    for i in range(len(rows)):
+        found.setdefault(top(i), []).append(i)
+    out = []
+    for runs in found.values():
+        size = stop[runs] - start[runs]
+        x = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[runs], size)
+        out.append((np.repeat(rows[runs], size), x))
+    return out
+
+
 def cutout(image: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     """B, G, R with alpha (0 to 1) as the fourth channel."""
     return np.concatenate([image[..., :3], byte(np.clip(alpha, 0, 1) * 255)[..., None]], axis=2)

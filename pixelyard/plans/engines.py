@@ -1,4 +1,7 @@
-"""The engines: what each expects of a model, its default values, and the operators that make it up."""
+"""The engines: what each expects of a model and its default values, and those whose results are further tables.
+
+Engines that make an image's rows where the image is are in vision.
+"""
 
 from __future__ import annotations
 
@@ -16,62 +19,61 @@ from .scoring import output, score_images
 
 @dataclass(frozen=True)
 class Engine:
-    """steps: preprocess preset, decoder, filter, suppression and other operators by name, in order."""
+    """preset: how images become input; defaults: thresholds, limits and sizes."""
 
     name: str
     preset: str
-    steps: tuple[str, ...]
     defaults: dict = field(default_factory=dict)
 
 
 ENGINES: dict[str, Engine] = {
     e.name: e
     for e in (
-        Engine("classification", "stretch_normalized", ("from_scores",), {"threshold": 0.5, "k": 5}),
-        Engine("detection", "letterbox", ("decode_centre_boxes", "suppress:detection", "restore"), {"threshold": 0.5, "iou": 0.45}),
-        Engine("detection_end_to_end", "letterbox", ("decode_end_to_end", "restore"), {"threshold": 0.5}),
-        Engine("detection_transformer", "stretch_normalized", ("decode_queries",), {"threshold": 0.5, "most": 300}),
-        Engine("segmentation", "letterbox", ("decode_centre_boxes", "suppress:segmentation", "masks", "restore"), {"threshold": 0.5, "mask": 0.35}),
-        Engine("open_vocabulary", "letterbox_plain", ("prototypes", "decode_centre_boxes", "suppress:open_vocabulary", "masks"), {"threshold": 0.01, "iou": 0.65}),
-        Engine("concepts", "minus_half_1008", ("tile_grid", "rank", "suppress:tiles"), {"threshold": 0.1, "k": 1, "most_prompts": 16}),
-        Engine("point_segmentation", "longest_side_1024", ("prompt_grid", "masks"), {"area": 200, "score": 0.5, "most": 30}),
-        Engine("multi_mask_segmentation", "longest_side_1024", ("prompt_grid", "rank", "masks"), {"area": 200, "score": 0.3, "most": 30}),
-        Engine("grounding", "grounding_800", ("token_phrases",), {"box": 0.25, "text": 0.2}),
-        Engine("grounded_segmentation", "grounding_800", ("token_phrases", "cascade", "masks"), {"box": 0.25, "text": 0.2}),
-        Engine("foreground", "stretch_normalized", ("saturated_sigmoid", "mask_area"), {"threshold": 0.5}),
-        Engine("portrait_matting", "minus_one_to_one", ("softmax", "cutout"), {}),
-        Engine("semantic_segmentation", "stretch_normalized", ("argmax", "class_histogram"), {}),
-        Engine("human_parsing", "stretch_normalized", ("argmax", "part_ratios"), {"classes": 18}),
-        Engine("depth", "stretch_normalized", ("min_max_normalize",), {}),
-        Engine("super_resolution", "style_raw", ("tiled",), {"size": 384, "pad": 16, "scale": 4}),
-        Engine("enhancement", "style_raw", ("tiled",), {"size": 512, "pad": 32, "scale": 1}),
-        Engine("enhancement_pipeline", "style_raw", ("low_light", "dehaze", "denoise", "super_resolution"), {}),
-        Engine("deblurring", "aligned", ("tiled",), {"size": 0}),
-        Engine("style_transfer", "style_raw", ("tiled",), {"size": 0}),
-        Engine("pose", "letterbox", ("decode_centre_boxes", "keypoints_from", "suppress:pose", "restore"), {"threshold": 0.25, "iou": 0.45}),
-        Engine("pose_one_stage", "letterbox_raw_bgr", ("simcc", "suppress:pose_one_stage"), {"threshold": 0.45, "iou": 0.65}),
-        Engine("whole_body", "stretch_normalized", ("simcc",), {"points": 133}),
-        Engine("hand", "palm_192", ("decode_ssd", "suppress:palm", "cascade", "simcc"), {"threshold": 0.5, "iou": 0.3, "most": 4}),
-        Engine("pose_rules", "", ("torso_angle", "is_lying", "is_hands_up", "body_orientation"), {"least": 0.3}),
-        Engine("gesture", "", ("gesture",), {"least_hit": 0.55}),
-        Engine("action", "", ("skeleton_window", "softmax", "argmax_last"), {"frames": 30}),
-        Engine("face_detection", "face_raw", ("decode_face_score", "suppress:face"), {"threshold": 0.6, "iou": 0.3, "before": 5000}),
-        Engine("face_recognition", "face_embedding", ("similarity_transform", "l2_normalize", "cosine"), {}),
-        Engine("face_attribute", "age_gender", ("cascade", "softmax"), {"expand": 0.2}),
-        Engine("expression", "expression", ("cascade", "softmax"), {"expand": 0.2}),
-        Engine("face_landmarks", "face_raw", ("cascade",), {"points": 106, "expand": 0.2}),
-        Engine("liveness", "stretch_normalized", ("cascade", "map_mean"), {"threshold": 0.5}),
-        Engine("reidentification", "stretch_normalized", ("cascade", "l2_normalize", "gallery_search"), {}),
-        Engine("rotated_detection", "letterbox_plain", ("decode_rotated", "rotated_suppression"), {"threshold": 0.5, "iou": 0.45}),
-        Engine("text_recognition", "text_line", ("components", "cascade", "ctc_decode"), {"pixel": 0.3, "region": 0.5, "blank": 0}),
-        Engine("plate", "plate_mean", ("decode_ssd", "suppress:plate", "warp_quad", "ctc_decode", "plate_colour"), {"threshold": 0.5, "iou": 0.4}),
-        Engine("table", "table_488", ("structure_tokens", "table_html", "cell_boxes"), {}),
-        Engine("qr", "qr", ("decode_ssd", "suppress:qr"), {"threshold": 0.2, "iou": 0.45, "before": 100}),
-        Engine("image_quality", "", ("image_quality",), {}),
-        Engine("feature_matching", "shrink_gray", ("one_to_one",), {"threshold": 0.0}),
-        Engine("keypoint_features", "shrink_rgb_784", ("rank",), {"most": 2048}),
-        Engine("mutual_matching", "shrink_gray", ("score_matrix", "mutual_matches"), {"threshold": 0.1}),
-        Engine("dense_matching", "stretch", ("grid_samples",), {"threshold": 0.3, "stride": 16}),
+        Engine("classification", "stretch_normalized", {"threshold": 0.5, "k": 5}),
+        Engine("detection", "letterbox", {"threshold": 0.5, "iou": 0.45}),
+        Engine("detection_end_to_end", "letterbox", {"threshold": 0.5}),
+        Engine("detection_transformer", "stretch_normalized", {"threshold": 0.5, "most": 300}),
+        Engine("segmentation", "letterbox", {"threshold": 0.5, "mask": 0.35}),
+        Engine("open_vocabulary", "letterbox_plain", {"threshold": 0.01, "iou": 0.65}),
+        Engine("concepts", "minus_half_1008", {"threshold": 0.1, "k": 1, "most_prompts": 16}),
+        Engine("point_segmentation", "longest_side_1024", {"area": 200, "score": 0.5, "most": 30}),
+        Engine("multi_mask_segmentation", "longest_side_1024", {"area": 200, "score": 0.3, "most": 30}),
+        Engine("grounding", "grounding_800", {"box": 0.25, "text": 0.2}),
+        Engine("grounded_segmentation", "grounding_800", {"box": 0.25, "text": 0.2}),
+        Engine("foreground", "stretch_normalized", {"threshold": 0.5}),
+        Engine("portrait_matting", "minus_one_to_one", {}),
+        Engine("semantic_segmentation", "stretch_normalized", {}),
+        Engine("human_parsing", "stretch_normalized", {"classes": 18}),
+        Engine("depth", "stretch_normalized", {}),
+        Engine("super_resolution", "style_raw", {"size": 384, "pad": 16, "scale": 4}),
+        Engine("enhancement", "style_raw", {"size": 512, "pad": 32, "scale": 1}),
+        Engine("enhancement_pipeline", "style_raw", {}),
+        Engine("deblurring", "aligned", {"size": 0}),
+        Engine("style_transfer", "style_raw", {"size": 0}),
+        Engine("pose", "letterbox", {"threshold": 0.25, "iou": 0.45}),
+        Engine("pose_one_stage", "letterbox_raw_bgr", {"threshold": 0.45, "iou": 0.65}),
+        Engine("whole_body", "stretch_normalized", {"points": 133}),
+        Engine("hand", "palm_192", {"threshold": 0.5, "iou": 0.3, "most": 4}),
+        Engine("pose_rules", "", {"least": 0.3}),
+        Engine("gesture", "", {"least_hit": 0.55}),
+        Engine("action", "", {"frames": 30}),
+        Engine("face_detection", "face_raw", {"threshold": 0.6, "iou": 0.3, "before": 5000}),
+        Engine("face_recognition", "face_embedding", {}),
+        Engine("face_attribute", "age_gender", {"expand": 0.2}),
+        Engine("expression", "expression", {"expand": 0.2}),
+        Engine("face_landmarks", "face_raw", {"points": 106, "expand": 0.2}),
+        Engine("liveness", "stretch_normalized", {"threshold": 0.5}),
+        Engine("reidentification", "stretch_normalized", {}),
+        Engine("rotated_detection", "letterbox_plain", {"threshold": 0.5, "iou": 0.45}),
+        Engine("text_recognition", "text_line", {"pixel": 0.3, "region": 0.5, "blank": 0}),
+        Engine("plate", "plate_mean", {"threshold": 0.5, "iou": 0.4}),
+        Engine("table", "table_488", {}),
+        Engine("qr", "qr", {"threshold": 0.2, "iou": 0.45, "before": 100}),
+        Engine("image_quality", "", {}),
+        Engine("feature_matching", "shrink_gray", {"threshold": 0.0}),
+        Engine("keypoint_features", "shrink_rgb_784", {"most": 2048}),
+        Engine("mutual_matching", "shrink_gray", {"threshold": 0.1}),
+        Engine("dense_matching", "stretch", {"threshold": 0.3, "stride": 16}),
     )
 }
 

@@ -5,6 +5,7 @@ One session a Python worker, opened on its first batch; Arrow batches are the mo
 
 from __future__ import annotations
 
+import contextlib
 import os
 import struct
 from collections.abc import Callable, Iterator
@@ -12,7 +13,10 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..errors import InferenceError, InvalidArgument, ModelNotFound
 from .preprocess import PreprocessSpec, preprocess
@@ -127,6 +131,98 @@ def score_images(images: DataFrame, open_scorer: Callable[[], Scorer], spec: Pre
     return images.select("image_id", "width", "height", "channels", "data").mapInPandas(run, TENSORS)
 
 
+def score_named(rows: DataFrame, open_scorer: Callable[[], Callable[[dict[str, np.ndarray]], list[tuple[str, np.ndarray]]]], inputs: dict[str, tuple[str, tuple[int, ...]]], key: str = "image_id") -> DataFrame:
+    """As score_vectors, for models of several inputs: each is a column of flat arrays and the shape of one row's.
+
+    One size of a shape may be -1.  Columns of whole numbers go in as such, others in single precision.  A row is
+    scored by itself, as rows differ in their shapes; one that fails, or lacks an input, gives a row with only `error`.
+    """
+    columns = [c for c, _ in inputs.values()]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = open_scorer()
+        for batch in batches:
+            out: list[tuple] = []
+            for i, *values in zip(batch[key], *(batch[c] for c in columns)):
+                try:
+                    given = {}
+                    for (name, (column, shape)), value in zip(inputs.items(), values):
+                        if value is None:
+                            raise InvalidArgument(f"no {column} for input {name}")
+                        x = np.asarray(value)
+                        given[name] = (x.astype(np.int64) if np.issubdtype(x.dtype, np.integer) else x.astype(np.float32)).reshape(1, *shape)
+                    out += tensor_rows([i], scorer(given))
+                except Exception as e:  # noqa: BLE001
+                    out.append((i, -1, None, None, None, None, str(e)))
+            yield pd.DataFrame(out, columns=["image_id", "output_idx", "name", "shape", "f32", "i64", "error"])
+
+    return rows.select(key, *dict.fromkeys(columns)).mapInPandas(run, TENSORS)
+
+
+def onnx_named_scorer(path: str | bytes, threads: int = 1) -> Callable[[], Callable[[dict[str, np.ndarray]], list[tuple[str, np.ndarray]]]]:
+    """onnx_scorer for models of several inputs: takes arrays by the inputs' names."""
+
+    def open_():
+        from pyspark import SparkFiles
+
+        here = isinstance(path, bytes) or os.path.exists(path)
+        session = open_session(path if here else SparkFiles.get(os.path.basename(path)), threads)
+        wanted, outputs = {x.name for x in session.get_inputs()}, [o.name for o in session.get_outputs()]
+
+        def score(given: dict[str, np.ndarray]) -> list[tuple[str, np.ndarray]]:
+            if missing := wanted - set(given):
+                raise InvalidArgument(f"the model also takes {sorted(missing)}")
+            return list(zip(outputs, session.run(None, {k: v for k, v in given.items() if k in wanted})))
+
+        return score
+
+    return open_
+
+
+def predict(images: DataFrame, open_scorer: Callable[[], Scorer], spec: PreprocessSpec, finish: Callable[[dict[str, np.ndarray], int, int], list[tuple]], schema: str, batch_rows: int = 8, warm_up: bool = False) -> DataFrame:
+    """Images through a model and what follows it, in one Arrow stage: finish makes the rows of one image.
+
+    finish takes the image's outputs by name, in the model's order, its width and height.  Neither images nor
+    outputs leave their partition.  image_id stands before and error after the columns of schema; an image that
+    can't be read or scored gives a row with only these.  With warm_up a worker scores an empty image first, so
+    that its first batch isn't slower than others.
+    """
+    full = f"image_id long, {schema}, error string"
+    kinds = to_arrow_schema(_parse_datatype_string(full))
+    names, width = [f.name for f in kinds], len(kinds) - 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = open_scorer()
+        if warm_up:
+            with contextlib.suppress(Exception):
+                scorer(preprocess(np.zeros((spec.height, spec.width, 3), np.uint8), spec)[None])
+        for batch in batches:
+            out: list[tuple] = []
+            ready: dict[tuple, list[tuple[int, int, int, np.ndarray]]] = {}
+            for r in batch.to_pylist():
+                try:
+                    x = preprocess(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["channels"]), spec)
+                    ready.setdefault(x.shape, []).append((r["image_id"], r["width"], r["height"], x))
+                except Exception as e:  # noqa: BLE001
+                    out.append((r["image_id"], *[None] * width, str(e)))
+            for group in ready.values():
+                for at in range(0, len(group), batch_rows):
+                    part = group[at : at + batch_rows]
+                    try:
+                        scored = scorer(np.stack([x for *_, x in part]))
+                    except Exception:  # noqa: BLE001
+                        scored = None
+                    for k, (i, w, h, x) in enumerate(part):
+                        try:
+                            mine = {n: v[k] for n, v in scored} if scored is not None else {n: v[0] for n, v in scorer(x[None])}
+                            out += [(i, *row, None) for row in finish(mine, w, h)]
+                        except Exception as e:  # noqa: BLE001
+                            out.append((i, *[None] * width, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out) if out else [[]] * (width + 2), kinds)], names)
+
+    return images.select("image_id", "width", "height", "channels", "data").mapInArrow(run, full)
+
+
 def score_vectors(rows: DataFrame, open_scorer: Callable[[], Scorer], vector: str, key: str = "image_id") -> DataFrame:
     """As score_images, for rows that hold model input already, as arrays of one length."""
 
