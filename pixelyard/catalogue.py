@@ -36,18 +36,9 @@ def r6(c):
 COSINE = "list_cosine_similarity(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(g.embedding, lambda x: x::DOUBLE))"
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, g.label AS id, max({COSINE}) AS s FROM embeddings q, embeddings g WHERE q.vec_id < 5 AND g.vec_id >= 5 GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s) SELECT query_id, id, CAST(rank AS INT) AS rank, round(s, 6) AS similarity FROM r WHERE rank <= 3""")
-def gallery_search_topk(spark, sf_dir):
-    """The first five vectors as queries against a gallery of all others, by label."""
-    rows = fx.table(spark, sf_dir, "embeddings")
-    found = search.gallery_search(rows.where("vec_id < 5").withColumnRenamed("vec_id", "query_id"), rows.where("vec_id >= 5"), 3, entry_id="label")
-    return found.select("query_id", F.col("label").alias("id"), "rank", r6("similarity").alias("similarity"))
-
-
 @query(f"""WITH s AS (SELECT q.vec_id AS query_id, g.label AS id, max({COSINE}) AS s FROM embeddings q, embeddings g WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s) SELECT query_id, id, CAST(rank AS INT) AS rank, round(s, 6) AS similarity FROM r WHERE rank <= 3""")
-def gallery_search_hundredths(spark, sf_dir):
+def gallery_search_topk(spark, sf_dir):
     """Each vector whose id is divisible by 100 as a query against a gallery of all vectors, by label."""
     rows = fx.table(spark, sf_dir, "embeddings")
     found = search.gallery_search(rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), rows, 3, entry_id="label")
@@ -171,7 +162,9 @@ def letterbox_restore(spark, sf_dir):
     return rows.select("img", "seq", *[F.round(f"b.{c}", 9).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@query(f"WITH {fx.SQL_BOXES} SELECT k.img, k.seq AS a, c.seq AS b, round({INTER} / {UNION}, 6) AS iou, round({INTER} / least({AREA.format('k')}, {AREA.format('c')}), 6) AS ios FROM boxes k JOIN boxes c ON k.img = c.img AND k.cls = c.cls AND k.seq < c.seq WHERE {INTER} / {UNION} > 0.5")
+@query(f"""WITH {fx.SQL_BOXES.replace(' AS (', ' AS MATERIALIZED (', 1)}, lists AS MATERIALIZED (SELECT img, list(struct_pack(seq := seq, x1 := x1, y1 := y1, x2 := x2, y2 := y2)) AS bs FROM boxes GROUP BY img, cls),
+firsts AS (SELECT img, unnest(bs) AS k, bs FROM lists), pairs AS (SELECT img, k, unnest(list_filter(bs, lambda b: b.seq > k.seq)) AS c FROM firsts)
+SELECT img, k.seq AS a, c.seq AS b, round({INTER} / {UNION}, 6) AS iou, round({INTER} / least({AREA.format('k')}, {AREA.format('c')}), 6) AS ios FROM pairs WHERE {INTER} / {UNION} > 0.5""")
 def overlapping_pairs(spark, sf_dir):
     b = fx.boxes(spark, sf_dir).select("img", "cls", "seq", F.struct("x1", "y1", "x2", "y2").alias("box"))
     c = b.select("img", "cls", F.col("seq").alias("b"), F.col("box").alias("other"))
@@ -253,9 +246,17 @@ def slice_greedy_merge(spark, sf_dir):
     return suppression.greedy_merge(fx.boxes(spark, sf_dir), image="img", class_col="cls").select("img", "cls", "seq", "x1", "y1", "x2", "y2", "score", "members")
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.SQL_BOXES}, o AS (SELECT img, cls, seq, x1::FLOAT AS x1, y1::FLOAT AS y1, x2::FLOAT AS x2, y2::FLOAT AS y2, row_number() OVER (PARTITION BY img, cls ORDER BY score::FLOAT DESC, x1::FLOAT, y1::FLOAT, x2::FLOAT, y2::FLOAT, seq) AS n FROM boxes),
+g AS (SELECT img, cls, n, seq, seq AS kid, 0::BIGINT AS taker, [struct_pack(n := n, kid := seq, x1 := x1, y1 := y1, x2 := x2, y2 := y2)] AS ks FROM o WHERE n = 1
+UNION ALL SELECT o.img, o.cls, o.n, o.seq, coalesce(h.kid, o.seq), coalesce(h.n, 0), list_append(s.ks, struct_pack(n := o.n, kid := coalesce(h.kid, o.seq), x1 := o.x1, y1 := o.y1, x2 := o.x2, y2 := o.y2))
+FROM g s JOIN o ON s.img = o.img AND s.cls = o.cls AND o.n = s.n + 1, LATERAL (SELECT list_filter(s.ks, lambda k: {KHIT})[1] AS h)),
+mem AS (SELECT g.img, g.cls, g.kid, b.x1, b.y1, b.x2, b.y2, b.score, row_number() OVER (PARTITION BY g.img, g.kid ORDER BY g.taker, g.n) AS j FROM g JOIN boxes b ON b.img = g.img AND b.seq = g.seq),
+f AS (SELECT img, cls, kid, j, x1, y1, x2, y2, score, 1 AS members FROM mem WHERE j = 1
+UNION ALL SELECT s.img, s.cls, s.kid, m.j, CASE WHEN ok THEN least(s.x1, m.x1) ELSE s.x1 END, CASE WHEN ok THEN least(s.y1, m.y1) ELSE s.y1 END, CASE WHEN ok THEN greatest(s.x2, m.x2) ELSE s.x2 END, CASE WHEN ok THEN greatest(s.y2, m.y2) ELSE s.y2 END, CASE WHEN ok THEN greatest(s.score, m.score) ELSE s.score END, s.members + CASE WHEN ok THEN 1 ELSE 0 END
+FROM f s JOIN mem m ON m.img = s.img AND m.kid = s.kid AND m.j = s.j + 1, LATERAL (SELECT {MERGE} AS ok))
+SELECT img, cls, kid AS seq, x1, y1, x2, y2, score, CAST(members AS INT) AS members FROM f QUALIFY j = max(j) OVER (PARTITION BY img, kid)""")
 def slice_transitive_merge(spark, sf_dir):
-    """Tests hold it against a loop."""
+    """A box's keeper is that of the first box above it that it meets."""
     return suppression.transitive_merge(fx.boxes(spark, sf_dir), image="img", class_col="cls")
 
 
@@ -441,7 +442,8 @@ def image_quality(spark, sf_dir):
     return planes.image_quality(fx.gray_arrays(spark, sf_dir)).select("img", *[r6(c).alias(c) for c in ("blur", "brightness", "contrast", "noise", "overall")])
 
 
-@query(f"WITH {fx.SQL_GRAY} SELECT a.img, a.y * 8 + a.x AS i, greatest(a.v, b.v) AS v FROM gray a JOIN gray b ON b.img = a.img + 1 AND a.y = b.y AND a.x = b.x")
+@query(f"""WITH {fx.SQL_GRAY}, p AS MATERIALIZED (SELECT img, list(v ORDER BY y, x) AS vs FROM gray GROUP BY img), two AS (SELECT a.img, a.vs, b.vs AS us FROM p a JOIN p b ON b.img = a.img + 1)
+SELECT img, CAST(i - 1 AS INT) AS i, greatest(vs[i], us[i]) AS v FROM two, range(1, 65) t(i)""")
 def mask_unions(spark, sf_dir):
     rows = fx.gray_arrays(spark, sf_dir).select("img", "data")
     other = rows.select((F.col("img") - 1).alias("img"), F.col("data").alias("other"))
@@ -454,10 +456,16 @@ def map_means(spark, sf_dir):
     return fx.scores(spark, sf_dir).select("id", F.round(mean, 7).alias("mean"), (mean < 0.01).alias("live"), planes.mask_area(F.col("scores"), 0.1).alias("area"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {fx.SQL_GRAY}, lit AS MATERIALIZED (SELECT img, y, x, v FROM gray WHERE v > 140),
+reach AS (SELECT img, y * 8 + x AS origin, y, x FROM lit
+UNION SELECT r.img, r.origin, l.y, l.x FROM reach r JOIN lit l ON l.img = r.img AND abs(l.y - r.y) <= 1 AND abs(l.x - r.x) <= 1),
+homes AS (SELECT img, y, x, min(origin) AS home FROM reach GROUP BY img, y, x),
+sums AS (SELECT img, home, count(*) AS n, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, avg(v) AS m, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM homes JOIN lit USING (img, y, x) GROUP BY img, home)
+SELECT img, CAST(row_number() OVER (PARTITION BY img ORDER BY home) - 1 AS INT) AS component, CAST(n AS INT) AS area, x1, y1, x2, y2, round(m, 6) AS mean, round(0.5::DOUBLE * atan2(2 * (n * sxy - sx * sy)::DOUBLE, ((n * sxx - sx * sx) - (n * syy - sy * sy))::DOUBLE), 6) AS angle FROM sums""")
 def connected_components(spark, sf_dir):
-    """Tests hold it against small planes."""
-    return planes.components(fx.gray(spark, sf_dir), 140, "img")
+    """Regions of pixels above 140; the SQL follows neighbours from each pixel."""
+    found = planes.components(fx.gray(spark, sf_dir), 140, "img")
+    return found.withColumn("mean", r6("mean")).withColumn("angle", r6("angle"))
 
 
 # ---- rules

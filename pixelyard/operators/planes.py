@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .suppression import in_groups
+
 
 def threshold(v: Column, limit: float, most: int = 255, inverse: bool = False) -> Column:
     return F.when(v > limit, 0 if inverse else most).otherwise(most if inverse else 0)
@@ -114,31 +118,49 @@ def image_quality(planes: DataFrame, data: str = "data", width: str = "width", h
 def components(planes: DataFrame, limit: float = 0.3, image: str = "image_id", value: str = "v") -> DataFrame:
     """8-connected regions of pixels above the limit: image, component (in order of discovery), area, box, mean value, second-moment angle.
 
-    One image is one group: an image's pixels fit a task, whatever the number of images.
+    One exchange by image; then the pixels of many images are labelled at once, in NumPy.  An image's pixels fit a task.
+    Null values and NaN are below any limit.  A plane has a pixel once.
     """
-    import pandas as pd
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        on = {(y, x): v for y, x, v in zip(pdf["y"], pdf["x"], pdf[value]) if v > limit}
-        seen: set[tuple[int, int]] = set()
-        out = []
-        for start in sorted(on):
-            if start in seen:
-                continue
-            seen.add(start)
-            region, work = [], [start]
-            while work:
-                y, x = work.pop()
-                region.append((y, x))
-                for near in ((y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)):
-                    if near in on and near not in seen:
-                        seen.add(near)
-                        work.append(near)
-            ys, xs = [p[0] for p in region], [p[1] for p in region]
-            my, mx = sum(ys) / len(ys), sum(xs) / len(xs)
-            xx, yy = sum((x - mx) ** 2 for x in xs), sum((y - my) ** 2 for y in ys)
-            xy = sum((x - mx) * (y - my) for x, y in zip(xs, ys))
-            out.append((pdf[image].iloc[0], len(out), len(region), min(xs), min(ys), max(xs), max(ys), sum(on[p] for p in region) / len(region), 0.5 * math.atan2(2 * xy, xx - yy)))
-        return pd.DataFrame(out, columns=[image, "component", "area", "x1", "y1", "x2", "y2", "mean", "angle"])
-
-    return planes.groupBy(image).applyInPandas(label, f"{image} {dict(planes.dtypes)[image]}, component int, area int, x1 int, y1 int, x2 int, y2 int, mean double, angle double")
+    names = ["component", "area", "x1", "y1", "x2", "y2", "mean", "angle"]
+
+    def label(table: pa.Table, begin: np.ndarray) -> pa.Table:
+        part = np.repeat(np.arange(len(begin)), np.diff([*begin, table.num_rows]))
+        y, x, v = table["y"].to_numpy().astype(np.int64), table["x"].to_numpy().astype(np.int64), table[value].to_numpy()
+        wide, high = int(x.max() - x.min()) + 3, int(y.max() - y.min()) + 3  # a blank line between neighbouring rows and planes
+        at = (part * high + y - y.min()) * wide + x - x.min()
+        order = np.argsort(at, kind="stable")
+        at, part, y, x, v = at[order], part[order], y[order], x[order], v[order]
+        home = np.arange(len(at))
+        one, two = [], []
+        for step in (1, wide - 1, wide, wide + 1):
+            spot = np.minimum(np.searchsorted(at, at + step), len(at) - 1)
+            near = np.flatnonzero(at[spot] == at + step)
+            one.append(near)
+            two.append(spot[near])
+        one, two = np.concatenate(one), np.concatenate(two)
+        while True:  # regions that touch take the smaller home, and homes are followed to their ends
+            a, b = home[one], home[two]
+            apart = a != b
+            if not apart.any():
+                break
+            one, two, a, b = one[apart], two[apart], a[apart], b[apart]
+            np.minimum.at(home, np.maximum(a, b), np.minimum(a, b))
+            while (home[home] != home).any():
+                home = home[home]
+        first, region = np.unique(home, return_inverse=True)
+        n = np.bincount(region)
+        add = lambda w: np.bincount(region, w, len(first))
+        ends = lambda f, w, start: (out := np.full(len(first), start), f.at(out, region, w))[0].astype(np.int32)
+        far = np.iinfo(np.int64).max
+        sx, sy = add(x), add(y)
+        angle = 0.5 * np.arctan2(2 * (n * add(x * y) - sx * sy), (n * add(x * x) - sx * sx) - (n * add(y * y) - sy * sy))
+        starts = np.flatnonzero(np.concatenate([[True], part[first][1:] != part[first][:-1]]))
+        number = np.arange(len(first)) - np.repeat(starts, np.diff([*starts, len(first)]))
+        own = table[image].take(pa.array(order[first]))
+        return pa.table(
+            [own, *(pa.array(c.astype(np.int32)) for c in (number, n)), *(pa.array(c) for c in (ends(np.minimum, x, far), ends(np.minimum, y, far), ends(np.maximum, x, -far), ends(np.maximum, y, -far))), pa.array(add(v) / n), pa.array(angle)],
+            [image, *names],
+        )
+
+    rows = planes.where((F.col(value) > limit) & ~F.isnan(F.col(value).cast("double"))).select(image, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col(value).cast("double").alias(value))
+    return in_groups(rows, [image], label, f"{image} {dict(planes.dtypes)[image]}, component int, area int, x1 int, y1 int, x2 int, y2 int, mean double, angle double")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from pixelyard import catalogue
+from pixelyard.operators import planes
 
 
 def test_gallery_search_takes_each_hundredth_id(spark, tmp_path):
@@ -11,7 +12,7 @@ def test_gallery_search_takes_each_hundredth_id(spark, tmp_path):
     vectors, labels = rng.normal(size=(730, 64)), rng.integers(0, 9, 730).tolist()
     rows = [(i, v.tolist(), label) for i, (v, label) in enumerate(zip(vectors, labels))]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {(r["query_id"], r["rank"]): (r["id"], r["similarity"]) for r in catalogue.QUERIES["gallery_search_hundredths"](spark, str(tmp_path)).collect()}
+    got = {(r["query_id"], r["rank"]): (r["id"], r["similarity"]) for r in catalogue.QUERIES["gallery_search_topk"](spark, str(tmp_path)).collect()}
     assert {q for q, _ in got} == set(range(0, 730, 100)) and len(got) == 3 * 8
     units = vectors / np.linalg.norm(vectors, axis=1)[:, None]
     for q in range(0, 730, 100):
@@ -20,3 +21,38 @@ def test_gallery_search_takes_each_hundredth_id(spark, tmp_path):
             best[label] = max(s, best.get(label, -1))
         for rank, (label, s) in enumerate(sorted(best.items(), key=lambda x: -x[1])[:3], 1):
             assert got[q, rank] == (label, pytest.approx(s, abs=2e-6))
+
+
+def flood(plane, limit):
+    """Regions in order of discovery, pixel by pixel."""
+    on, found = {(y, x) for y, row in enumerate(plane) for x, v in enumerate(row) if v > limit}, []
+    while on:
+        work = [min(on)]
+        on -= set(work)
+        region = []
+        while work:
+            y, x = work.pop()
+            region.append((y, x))
+            near = {(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)} & on
+            on -= near
+            work += near
+        found.append(region)
+    return found
+
+
+def test_components_of_many_planes(spark):
+    rng = np.random.default_rng(3)
+    shown = {i: rng.random((int(rng.integers(1, 12)), int(rng.integers(1, 12)))) for i in range(40)}
+    spiral = np.zeros((9, 9))
+    spiral[0, :] = spiral[:, 8] = spiral[8, :] = spiral[2:, 0] = spiral[2, :7] = spiral[2:7, 6] = spiral[6, 2:7] = spiral[4:7, 2] = spiral[4, 2:5] = 1
+    shown |= {40: spiral, 41: np.ones((1, 30)), 42: np.zeros((3, 3))}
+    rows = [(i, y, x, float(v)) for i, plane in shown.items() for (y, x), v in np.ndenumerate(plane)] + [(43, 0, 0, None)]
+    got = planes.components(spark.createDataFrame(rows, "image_id long, y int, x int, v double"), 0.6).collect()
+    right = {}
+    for i, plane in shown.items():
+        for k, region in enumerate(flood(plane, 0.6)):
+            ys, xs = zip(*region)
+            right[i, k] = (len(region), min(xs), min(ys), max(xs), max(ys), pytest.approx(float(np.mean([plane[p] for p in region]))))
+    assert {(r["image_id"], r["component"]): tuple(r)[2:8] for r in got} == right and len(got) == len(right)
+    line = next(r for r in got if r["image_id"] == 41)
+    assert line["angle"] == 0.0
