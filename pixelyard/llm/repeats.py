@@ -20,12 +20,17 @@ alone, so equal windows have equal anchors wherever they stand.
 The chunked texts are one hash exchange which all three steps share.  Chunks and
 buckets hold a fixed number of bytes, so their number follows the corpus; no step
 sends anything but replies' bits and runs back, and nothing reaches the driver
-except the corpus' size.
+except the corpus' size.  Exchanges have partitions by the root of the corpus' size
+(parts_for): tasks times tasks, the blocks of an exchange, follow the corpus, and so
+neither blocks nor tasks become too many or too large at any size.  A message holds
+what a chunk has for a bucket, one hash at least, so there are never more messages
+than distinct anchors of chunks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -250,6 +255,11 @@ def thrifty(made: Callable) -> Callable:
     return one if made.__code__.co_argcount == 2 else two
 
 
+def parts_for(weight: int, block_bytes: int = 64 << 10) -> int:
+    """Partitions of an exchange of weight bytes, so that a block (from one task to another) has block_bytes."""
+    return max(1, math.isqrt(weight // block_bytes))
+
+
 def mark_repeats(
     docs: DataFrame,
     spec: Windows,
@@ -273,10 +283,11 @@ def mark_repeats(
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*others, F.lit(0).alias("_")).alias("rest"))
     total = source.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     weight = (total[0] or 0) + 16 * total[1]
-    chunks, buckets = max(1, weight // chunk_bytes), max(1, weight // bucket_bytes)
+    chunks, buckets, parts = max(1, weight // chunk_bytes), max(1, weight // bucket_bytes), parts_for(weight)
     # a row number isn't needed: equal ids may share a chunk, a null id is spread by its text
     texts = source.select("id", "text", *(["rest"] if carry else []), F.pmod(F.xxhash64(F.coalesce("id", F.crc32(F.coalesce("text", F.lit(""))))), F.lit(chunks)).alias("chunk"))
-    keyed = texts.groupBy("chunk")
+    by = lambda rows, key: rows.repartition(parts, key).groupBy(key)
+    keyed = by(texts, "chunk")
 
     @thrifty
     def send_anchors(key: tuple, table: pa.Table) -> pa.Table:
@@ -402,10 +413,10 @@ def mark_repeats(
             done = done.append_column("rest", nullable(table["rest"])).append_column("kept_text", pa.array([None if t is None else t.decode("utf-8", "ignore") for t in texts_], pa.string()))
         return done
 
-    flags = keyed.applyInArrow(send_anchors, _ddl(ANCHORS)).groupBy("bucket").applyInArrow(answer_anchors, _ddl(FLAGS))
-    segments = keyed.cogroup(flags.groupBy("chunk")).applyInArrow(send_segments, _ddl(SEGMENTS))
-    marks = segments.groupBy("bucket").applyInArrow(answer_segments, _ddl(FLAGS))
-    done = keyed.cogroup(flags.unionByName(marks).groupBy("chunk")).applyInArrow(finish, _ddl(result) + given)
+    flags = by(keyed.applyInArrow(send_anchors, _ddl(ANCHORS)), "bucket").applyInArrow(answer_anchors, _ddl(FLAGS))
+    segments = keyed.cogroup(by(flags, "chunk")).applyInArrow(send_segments, _ddl(SEGMENTS))
+    marks = by(segments, "bucket").applyInArrow(answer_segments, _ddl(FLAGS))
+    done = keyed.cogroup(by(flags.unionByName(marks), "chunk")).applyInArrow(finish, _ddl(result) + given)
     return done.withColumnRenamed("id", id_col)
 
 
