@@ -82,7 +82,10 @@ def finger_extensions(keypoints: Column) -> list[Column]:
 
 
 def gesture(keypoints: Column, least_hit: float = 0.55) -> Column:
-    """label and score of the best pattern (the first of equals), Unknown below least_hit; needs 21 points."""
+    """label and score of the best pattern, Unknown below least_hit; needs 21 points.
+
+    Of equals the first: scores that agree to nine decimals are equal, as sums of the same parts differ in their last bits.
+    """
     p = lambda i: point(keypoints, i)
     upward = (p(3)["y"].cast("double") - p(4)["y"].cast("double")) / F.greatest(distance(p(3), p(4)), F.lit(1e-6))
 
@@ -92,7 +95,7 @@ def gesture(keypoints: Column, least_hit: float = 0.55) -> Column:
             hit = sum((s[f"e{i}"] if on else 1 - s[f"e{i}"] for i, on in enumerate(pattern)), F.lit(0.0)) / 5
             if label.startswith("Thumb"):
                 hit = hit * ramp(s["up"] if label == "Thumb_Up" else -s["up"], 0.2, 0.9)
-            hits.append(F.struct(hit.alias("score"), F.lit(-order).alias("order"), F.lit(label).alias("label")))
+            hits.append(F.struct(F.round(hit, 9).alias("rounded"), F.lit(-order).alias("order"), hit.alias("score"), F.lit(label).alias("label")))
         return F.greatest(*hits)
 
     # one-element arrays bind what is used often, so that it is computed, and compiled, once

@@ -92,3 +92,11 @@ def just_below(spark, tmp_path_factory):
 def test_gray_levels_are_those_of_the_sql(spark, just_below, name):
     got, right = rows_of_both(spark, name, just_below, "embeddings")
     assert got == right
+
+
+def test_gestures_of_equal_scores(spark, tmp_path):
+    """Row 330's patterns Open_Palm and Three have one score, but for its last bits."""
+    vectors = np.random.default_rng(7).normal(size=(340, 64))
+    folder = embeddings(spark, tmp_path, vectors / np.linalg.norm(vectors, axis=1)[:, None])
+    got, right = rows_of_both(spark, "gesture_rules", folder, "embeddings")
+    assert got == right and any(id == 330 and label == "Open_Palm" for id, label, _ in got)
