@@ -139,7 +139,7 @@ def find_contamination(
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for first, last, texts in text_pieces(batch.column("text"), 4 << 20):
+                for first, last, texts in text_pieces(batch.column("text")):
                     part = batch.slice(first, last - first)
                     raw, at, to, upto = spaced_words([t.translate(LOWER) for t in texts], LETTER_WORDS)
                     words = slice_hashes(np.frombuffer(raw, np.uint8), at, to)

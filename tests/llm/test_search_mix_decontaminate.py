@@ -146,3 +146,18 @@ def test_decontamination(spark):
     empty = contamination(find_contamination(left, right.limit(0)))
     assert empty.where("n_hit > 0 or contaminated").count() == 0 and empty.count() == len(docs)
     assert find_contamination(left.limit(0), right).count() == 0
+
+
+def test_contamination_takes_a_mebibyte_of_text_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    taken = []
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, search, schema, *_: taken.append(search) or spark.createDataFrame([], schema))
+    words = " ".join(f"w{i}" for i in range(13))
+    find_contamination(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([("a", words)], "item_id string, text string"))
+    texts = [f"{words} {'x y ' * 7500}" for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts)], ["id", "text"])
+    parts = list(taken[0](iter([batch])))
+    assert [i for p in parts for i in p["id"].to_pylist()] == list(range(200)) and all(h == [[0, 13]] for p in parts for h in p["hits"].to_pylist())
+    assert max(sum(len(texts[i]) for i in p["id"].to_pylist()) for p in parts) <= 1 << 20
